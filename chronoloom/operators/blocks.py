@@ -36,16 +36,16 @@ def _combine(kind: str, carried: Column, own: Column) -> Column:
     return F.coalesce(own, carried)
 
 
-def blocked_scan(df: DataFrame, by: Sequence[str], block: str, order: Sequence[str], specs: dict[str, tuple[str, str]]) -> DataFrame:
+def blocked_scan(df: DataFrame, by: Sequence[str], block: str, order: Sequence[str], specs: dict[str, tuple[str, str]], upto: int = 0) -> DataFrame:
     """Add running aggregates from the series' start to the current row.
 
     by: entity columns (rows with a null in them are left out: they belong to no series). block: a column
     that grows with order within an entity. order: a total order, ascending. specs: output name ->
     (kind, column), kind one of sum, min, max, last; nulls are passed over; a running value is null
-    before the first non-null one. Ties in order that are not total are broken arbitrarily.
+    before the first non-null one. upto: 0 takes the current row in, -1 stops before it. Ties in order that are not total are broken arbitrarily.
     """
     df = df.na.drop(subset=list(by))
-    w_in = Window.partitionBy(*by, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w_in = Window.partitionBy(*by, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     inner = df.withColumns({f"__in_{o}": _over(k, F.col(c), w_in) for o, (k, c) in specs.items()})
     at = F.struct(*[F.col(c) for c in order])
     blocks = df.groupBy(*by, block).agg(*[_agg(k, F.col(c), at).alias(f"__b_{o}") for o, (k, c) in specs.items()])

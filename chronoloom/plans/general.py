@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.operators import instants
+from chronoloom.operators import instants, rolling, validity
 from chronoloom.sources.tables import table
 
 
@@ -14,8 +14,74 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return instants.renormalised(table(spark, d, "article_score"), table(spark, d, "feeds"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return validity.as_known(table(spark, d, "nvda_prices"), table(spark, d, "finbert_scores")).select("bar_id", "score_id")
+
+
+def p3_bars_with_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every bar, with the pos_mean known on its date (null before the first)."""
+    bars = table(spark, d, "nvda_prices")
+    known = validity.as_known(bars, table(spark, d, "finbert_scores"))
+    return bars.select("bar_id", "ticker", "date").join(known, "bar_id", "left")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return rolling.quiet_and_recent(table(spark, d, "news_scores"))
+
+
+def p6_rolling_totals(spark: SparkSession, d: str) -> DataFrame:
+    return rolling.ticker_totals(table(spark, d, "news_scores"), table(spark, d, "nvda_prices"), table(spark, d, "price_features"))
+
+
+_P3 = """
+SELECT b.bar_id, s.score_id, s.pos_mean,
+  row_number() OVER (PARTITION BY b.bar_id ORDER BY s.call_date DESC, s.scored_at DESC, s.score_id DESC) AS rn
+FROM nvda_prices b JOIN finbert_scores s ON s.ticker = b.ticker AND s.call_date < b.date AND s.scored_at <= b.date
+WHERE s.pos_mean IS NOT NULL
+"""
+
+_P6_NEWS = """
+n AS (SELECT ticker, CAST(as_of AS DATE) AS d, news_count FROM (SELECT *, row_number() OVER
+  (PARTITION BY ticker, CAST(as_of AS DATE) ORDER BY loaded_at DESC, news_id DESC) AS rn FROM news_scores WHERE ticker IS NOT NULL AND as_of IS NOT NULL) WHERE rn = 1)
+"""
+
+
+def _p6_totals() -> str:
+    cols = []
+    for v in ("news_count", "close", "realized_vol_5d"):
+        for p in (7, 30):
+            w = f"OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW)"
+            s, c = f"CAST(coalesce(sum(CAST(round({v} * 1000000) AS BIGINT)) {w}, 0) AS DOUBLE) / 1000000", f"count({v}) {w}"
+            cols.append(f"{s} AS {v}_sum_{p}, {c} AS {v}_days_{p}, ({s}) / {p} AS {v}_avg_{p}, CASE WHEN {c} > 0 THEN ({s}) / {c} END AS {v}_mean_{p}")
+    return f"""
+WITH {_P6_NEWS},
+b AS (SELECT ticker, CAST(date AS DATE) AS d, close FROM (SELECT *, row_number() OVER
+  (PARTITION BY ticker, CAST(date AS DATE) ORDER BY loaded_at DESC, bar_id DESC) AS rn FROM nvda_prices WHERE ticker IS NOT NULL AND date IS NOT NULL) WHERE rn = 1),
+f AS (SELECT ticker, CAST(date AS DATE) AS d, max(realized_vol_5d) AS realized_vol_5d FROM price_features WHERE ticker IS NOT NULL AND date IS NOT NULL GROUP BY ALL),
+span AS (SELECT ticker, min(d) AS lo, max(d) AS hi FROM (SELECT ticker, d FROM n UNION ALL SELECT ticker, d FROM b UNION ALL SELECT ticker, d FROM f) GROUP BY ticker),
+cal AS (SELECT ticker, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM span),
+j AS (SELECT ticker, d, news_count, close, realized_vol_5d FROM cal LEFT JOIN n USING (ticker, d) LEFT JOIN b USING (ticker, d) LEFT JOIN f USING (ticker, d))
+SELECT ticker, strftime(d, '%Y-%m-%d') AS day, {", ".join(cols)} FROM j"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_bars_with_scores": p3_bars_with_scores,
+    "p6_found": p6_found,
+    "p6_rolling_totals": p6_rolling_totals,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p3_found": f"SELECT bar_id, score_id FROM ({_P3}) WHERE rn = 1",
+    "p3_bars_with_scores": f"SELECT b.bar_id, b.ticker, b.date, k.score_id, k.pos_mean FROM nvda_prices b LEFT JOIN (SELECT * FROM ({_P3}) WHERE rn = 1) k ON k.bar_id = b.bar_id",
+    "p6_found": f"""
+WITH {_P6_NEWS},
+span AS (SELECT ticker, min(d) AS lo, max(d) AS hi FROM n GROUP BY ticker),
+cal AS (SELECT ticker, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM span),
+t AS (SELECT ticker, d, coalesce(sum(news_count) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 0) AS w,
+  coalesce(sum(news_count) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 0) AS m FROM cal LEFT JOIN n USING (ticker, d))
+SELECT ticker, strftime(d, '%Y-%m-%d') AS news_day, CASE WHEN w = 0 AND m > 0 THEN 'silent' ELSE 'all_recent' END AS case_kind
+FROM t WHERE (w = 0 AND m > 0) OR (w = m AND w > 0)""",
+    "p6_rolling_totals": _p6_totals(),
+}
