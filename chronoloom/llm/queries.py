@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import canonical
+from chronoloom.llm import canonical, tick_join
 from chronoloom.sources.tables import table
 
 RECORD = ("url", "title", "source_name")
@@ -37,13 +37,47 @@ c AS (SELECT id, CASE WHEN contains(url, '?') THEN
 k AS (SELECT id, array_to_string(list_sort([u, t, s]), chr(10)) AS whole FROM c)
 """
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d).drop("distance_us")
+
+
+def p7_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Per pairing and distance in whole hours, the number of pairs."""
+    hours = F.floor(F.col("distance_us") / tick_join.HOUR_US).alias("hours")
+    return _p7(spark, d).groupBy("pairing", hours).agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    return tick_join.pairings(table(spark, d, "transcript_manifest"), table(spark, d, "nvda_prices"), table(spark, d, "news_scores"))
+
+
+def _p7_pair(name: str, left: str, lt: str, li: str, right: str, rt: str, ri: str) -> str:
+    return f"""SELECT '{name}' AS pairing, l.{li} AS left_id, r.{ri} AS right_id, abs(epoch_us(r.{rt}) - epoch_us(l.{lt})) AS us,
+  row_number() OVER (PARTITION BY l.{li} ORDER BY abs(epoch_us(r.{rt}) - epoch_us(l.{lt})), r.{rt}, r.{ri}) AS rn
+FROM {left} l JOIN {right} r ON r.ticker = l.ticker AND r.{rt} >= l.{lt} - INTERVAL 36 HOUR AND r.{rt} <= l.{lt} + INTERVAL 36 HOUR"""
+
+
+_P7 = " UNION ALL ".join(
+    _p7_pair(*x)
+    for x in (
+        ("call_bar", "transcript_manifest", "call_date", "call_id", "nvda_prices", "date", "bar_id"),
+        ("call_news", "transcript_manifest", "call_date", "call_id", "news_scores", "as_of", "news_id"),
+        ("news_bar", "news_scores", "as_of", "news_id", "nvda_prices", "date", "bar_id"),
+    )
+)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_record_counts": p1_record_counts,
+    "p7_found": p7_found,
+    "p7_distances": p7_distances,
 }
 
 SQL: dict[str, str] = {
     "p1_found": _P1_KEYS
     + "SELECT first_id AS article_id, id AS copy_id FROM (SELECT id, min(id) OVER (PARTITION BY whole) AS first_id FROM k) WHERE id <> first_id",
     "p1_record_counts": _P1_KEYS + "SELECT min(id) AS article_id, count(*) AS n_copies, false AS collided FROM k GROUP BY whole",
+    "p7_found": f"SELECT pairing, left_id, right_id FROM ({_P7}) WHERE rn = 1",
+    "p7_distances": f"SELECT pairing, us // 3600000000 AS hours, count(*) AS n_pairs FROM ({_P7}) WHERE rn = 1 GROUP BY ALL",
 }
