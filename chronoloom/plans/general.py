@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.operators import instants, rolling, validity
+from chronoloom.operators import instants, rolling, spikes, validity
 from chronoloom.sources.tables import table
 
 
@@ -25,6 +25,15 @@ def p3_bars_with_scores(spark: SparkSession, d: str) -> DataFrame:
     return bars.select("bar_id", "ticker", "date").join(known, "bar_id", "left")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.implausible(table(spark, d, "nvda_prices")).drop("kind")
+
+
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Implausible readings by field and kind."""
+    return spikes.implausible(table(spark, d, "nvda_prices")).groupBy("field_name", "kind").agg({"bar_id": "count"}).withColumnRenamed("count(bar_id)", "n_readings")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return rolling.quiet_and_recent(table(spark, d, "news_scores"))
 
@@ -68,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_bars_with_scores": p3_bars_with_scores,
+    "p4_found": p4_found,
+    "p4_kinds": p4_kinds,
     "p6_found": p6_found,
     "p6_rolling_totals": p6_rolling_totals,
 }
