@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import canonical, tick_join
+from chronoloom.llm import canonical, leakage, tick_join
 from chronoloom.sources.tables import table
 
 RECORD = ("url", "title", "source_name")
@@ -67,11 +67,22 @@ _P7 = " UNION ALL ".join(
 )
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per test item, in how many documents it leaked."""
+    return p9_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_record_counts": p1_record_counts,
     "p7_found": p7_found,
     "p7_distances": p7_distances,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
 }
 
 SQL: dict[str, str] = {
