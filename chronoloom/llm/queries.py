@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import canonical, leakage, tick_join
+from chronoloom.llm import canonical, leakage, spans, tick_join
 from chronoloom.sources.tables import table
 
 RECORD = ("url", "title", "source_name")
@@ -76,6 +76,14 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_pairs(table(spark, d, "documents"))
+
+
+def p10_shared_share(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_share(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_record_counts": p1_record_counts,
@@ -83,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_distances": p7_distances,
     "p9_found": p9_found,
     "p9_items": p9_items,
+    "p10_found": p10_found,
+    "p10_shared_share": p10_shared_share,
 }
 
 SQL: dict[str, str] = {
