@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import canonical, leakage, spans, tick_join
+from chronoloom.llm import canonical, leakage, packing, spans, tick_join
 from chronoloom.sources.tables import table
 
 RECORD = ("url", "title", "source_name")
@@ -67,6 +67,17 @@ _P7 = " UNION ALL ".join(
 )
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed_documents(table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """One row: containers, tokens in them, and the share of room that is left."""
+    per = p8_packed(spark, d).groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    total = per.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"))
+    return total.withColumn("room_left", 1 - F.try_divide("n_tokens", F.col("n_containers") * packing.CAPACITY))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -89,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_record_counts": p1_record_counts,
     "p7_found": p7_found,
     "p7_distances": p7_distances,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_items": p9_items,
     "p10_found": p10_found,
