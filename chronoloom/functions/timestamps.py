@@ -140,4 +140,6 @@ def with_utc_millis(df: DataFrame, text: str, default_zone: Column, date_order:
     epoch = F.when(size < 12, count * 1000).otherwise(count)
     # a step of its own, so that it is computed once
     df = df.withColumn(wall, F.when(F.col(fixed).isNotNull(), F.col(local)).when(F.col(rule).isNotNull(), utc_of_local(F.col(local), F.col(rule), ambiguous, nonexistent)))
-    return df.withColumn(out, F.coalesce(epoch, millis(F.col(wall)) - F.coalesce(F.col(fixed), F.lit(0)) * 60_000)).drop(s, parts, local, zone, fixed, rule, wall)
+    value = F.coalesce(epoch, millis(F.col(wall)) - F.coalesce(F.col(fixed), F.lit(0)) * 60_000)
+    # out of a generator, so that no filter on it is pushed below and all steps are computed there again
+    return df.select("*", F.explode(F.array(value)).alias(out)).drop(s, parts, local, zone, fixed, rule, wall)

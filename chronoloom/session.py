@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per cluster."""
+    sc = spark.sparkContext
+    if getattr(sc, "_chronoloom_sent", False):
+        return
+    root = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="chronoloom-")) / "chronoloom.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path("chronoloom") / p.relative_to(root))
+    sc.addPyFile(str(path))
+    sc._chronoloom_sent = True
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
