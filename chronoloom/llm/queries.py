@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import canonical, leakage, packing, spans, tick_join
+from chronoloom.llm import canonical, leakage, packing, spans, tick_join, vector_cells
 from chronoloom.sources.tables import table
 
 RECORD = ("url", "title", "source_name")
@@ -37,6 +37,16 @@ c AS (SELECT id, CASE WHEN contains(url, '?') THEN
 k AS (SELECT id, array_to_string(list_sort([u, t, s]), chr(10)) AS whole FROM c)
 """
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return vector_cells.replay(table(spark, d, "article_score"), table(spark, d, "feeds"))
+
+
+def p5_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Per batch, the articles that earlier batches had brought already."""
+    batch = table(spark, d, "article_score").select("article_id", "batch_id")
+    return p5_found(spark, d).join(batch, "article_id").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_known"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d).drop("distance_us")
 
@@ -98,6 +108,8 @@ def p10_shared_share(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_record_counts": p1_record_counts,
+    "p5_found": p5_found,
+    "p5_batches": p5_batches,
     "p7_found": p7_found,
     "p7_distances": p7_distances,
     "p8_packed": p8_packed,
