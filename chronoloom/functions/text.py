@@ -22,7 +22,7 @@ LEAST_WORDS = 4
 def sentences(text: Column) -> Column:
     """The sentences of a text that have four words or more, white space collapsed; null for null.
 
-    Single line ends are spaces, several end a sentence; else one ends at . ! or ? before a capital.
+    Single line ends are spaces. A sentence ends after . ! or ?, before a capital or where lines end twice.
     """
     t = F.regexp_replace(text, r"\r\n?", "\n")
     t = F.regexp_replace(t, r"(?<!\n)\n(?!\n)", " ")

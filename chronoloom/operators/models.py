@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators.evaluate import with_roles
+from chronoloom.session import cut
 
 
 def _trees(features: Sequence[str], target: str, **params) -> Pipeline:  # noqa: ANN003
@@ -21,7 +22,8 @@ def _trees(features: Sequence[str], target: str, **params) -> Pipeline:  # noqa:
 def gbt_forecasts(df: DataFrame, features: Sequence[str], target: str = "target_rv5", folds: int = 5, **params) -> DataFrame:  # noqa: ANN003
     """Predictions of each fold's test rows by trees trained on all rows before it; null without complete cases."""
     out = None
-    rows = with_roles(df, folds).na.drop(subset=[*features, target])
+    # read many times by the fits: a table, so that the features are not computed again each time
+    rows = cut(with_roles(df, folds).na.drop(subset=[*features, target]), "training")
     for k in range(1, folds + 1):
         mine = rows.where(F.col("eval_fold") == k)
         train, test = mine.where("role = 'train'"), mine.where("role = 'test'")
@@ -36,6 +38,6 @@ def gbt_forecasts(df: DataFrame, features: Sequence[str], target: str = "target_
 
 def importance(df: DataFrame, features: Sequence[str], target: str = "target_rv5", **params) -> DataFrame:  # noqa: ANN003
     """(feature, gain), largest first: normalised importances of trees fitted to all complete cases."""
-    model = _trees(features, target, **params).fit(df.na.drop(subset=[*features, target])).stages[-1]
+    model = _trees(features, target, **params).fit(cut(df.na.drop(subset=[*features, target]), "training")).stages[-1]
     rows = list(zip(features, model.featureImportances.toArray().tolist(), strict=True))
     return df.sparkSession.createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain"), "feature")

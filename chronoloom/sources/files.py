@@ -14,8 +14,9 @@ def read_payload(spark: SparkSession, path: str, article: str) -> DataFrame:
 
     article: the DDL of one record.
     """
-    raw = spark.read.schema(f"metadata string, articles array<struct<{article}>>").option("multiLine", True).json(path)
-    return raw.select(F.input_file_name().alias("file"), F.explode("articles").alias("a")).where("a is not null").select("file", "a.*")
+    raw = spark.read.schema("metadata string, articles array<string>").option("multiLine", True).json(path)
+    each = raw.select(F.input_file_name().alias("file"), F.explode("articles").alias("j")).where(r"ltrim(j) LIKE '{%'")
+    return each.select("file", F.from_json("j", article).alias("a")).select("file", "a.*")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
