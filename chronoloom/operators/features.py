@@ -24,7 +24,7 @@ def framed(df: DataFrame, by: Sequence[str], time: str) -> tuple[DataFrame, Wind
     After the features are computed over the window, keep the rows with core; frames may reach BEHIND rows
     back and AHEAD rows on. Rows with a null entity or time are left out.
     """
-    df = blocked_row_number(df.na.drop(subset=[*by, time]).withColumn("__block", F.year(time)), by, "__block", [time]).drop("__block")
+    df = blocked_row_number(df.na.drop(subset=[*by, time]).withColumn("__block", F.floor(F.unix_date(F.col(time).cast("date")) / 64)), by, "__block", [time]).drop("__block")
     at = lambda k: F.floor((F.col("rn") - 1 + k) / CHUNK)
     df = df.withColumn("chunk", F.explode(F.array_distinct(F.array(at(0), at(BEHIND), at(-AHEAD))))).withColumn("core", F.col("chunk") == at(0))
     return df, Window.partitionBy(*by, "chunk").orderBy(time)

@@ -52,7 +52,7 @@ def _series(bars: DataFrame, by: str, time: str, readings: tuple[Reading, ...])
     each = F.array(*[F.struct(F.lit(r.field).alias("field_name"), F.when(~F.isnan(r.field), F.col(r.field)).cast("double").alias("v")) for r in readings])
     long = bars.na.drop(subset=[by, time]).select(by, time, F.inline(each))
     once = long.groupBy(by, "field_name", time).agg(F.max("v").alias("v"))
-    once = once.withColumns({"one": F.lit(1).cast("bigint"), "pos": (F.coalesce(F.col("v"), F.lit(0.0)) > 0).cast("bigint"), "block": F.year(time)})
+    once = once.withColumns({"one": F.lit(1).cast("bigint"), "pos": (F.coalesce(F.col("v"), F.lit(0.0)) > 0).cast("bigint"), "block": F.floor(F.unix_date(F.col(time).cast("date")) / 64)})
     return blocked_scan(once, [by, "field_name"], "block", [time], {"rn": ("sum", "one"), "rp": ("sum", "pos")}).drop("one", "block")
 
 
