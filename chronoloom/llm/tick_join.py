@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from chronoloom.operators.validity import micros
 
 HOUR_US = 3_600_000_000
+#: An entity's tick with at least so many left rows is hot: there are at most left rows / HOT_ROWS of those.
+HOT_ROWS = 200_000
+#: A hot tick's left rows are shared out among so many tasks, each with all right times of that tick.
+PARTS = 32
 
 
 def _times(df: DataFrame, by: Sequence[str], at: str, key: str, name: str) -> DataFrame:
@@ -52,8 +56,13 @@ def nearest_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time
         "left_id", "t", F.explode(F.array(F.struct((-F.col("before.k")).alias("rt"), F.col("before.id").alias("right_id")), F.struct(F.col("after.k").alias("rt"), F.col("after.id").alias("right_id")))).alias("r")
     )
 
-    both = lefts.select(*by, "tick", "t", "left_id", F.lit(None).cast("bigint").alias("right_id")).unionByName(rights.select(*by, "tick", "t", F.lit(None).cast("bigint").alias("left_id"), "right_id"))
-    w = Window.partitionBy(*by, "tick")
+    hot = lefts.groupBy(*by, "tick").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= HOT_ROWS).select(*by, "tick", F.lit(True).alias("hot"))
+    hot = F.broadcast(hot)  # at most left rows / HOT_ROWS rows
+    lefts = lefts.join(hot, [*by, "tick"], "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("left_id"), F.lit(PARTS))).otherwise(0).cast("int"))
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    rights = rights.join(hot, [*by, "tick"], "left").withColumn("part", F.explode(parts))
+    both = lefts.select(*by, "tick", "part", "t", "left_id", F.lit(None).cast("bigint").alias("right_id")).unionByName(rights.select(*by, "tick", "part", "t", F.lit(None).cast("bigint").alias("left_id"), "right_id"))
+    w = Window.partitionBy(*by, "tick", "part")
     hit = F.when(F.col("right_id").isNotNull(), F.struct(F.col("t").alias("rt"), "right_id"))
     up, down = w.orderBy("t", F.col("right_id").isNull()).rowsBetween(Window.unboundedPreceding, 0), w.orderBy(F.desc("t"), F.col("right_id").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     inside = both.withColumns({"p": F.last(hit, ignorenulls=True).over(up), "n": F.last(hit, ignorenulls=True).over(down)}).where("left_id is not null")

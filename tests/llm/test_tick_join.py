@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from chronoloom.llm import tick_join
 from chronoloom.llm.tick_join import HOUR_US, nearest_join
 
 T0 = datetime(2024, 1, 1)
@@ -22,3 +23,13 @@ def test_is_brute_force(spark, left, right, tick):
         if c:
             want.append((i, min(c)[2]))
     assert sorted((r["left_id"], r["right_id"]) for r in got.collect()) == want
+
+
+def test_hot_ticks_are_shared_out(spark, monkeypatch):
+    schema = "id bigint, k string, t timestamp_ntz"
+    left = spark.createDataFrame([(i, "A", at(i % 50)) for i in range(200)], schema)
+    right = spark.createDataFrame([(i, "A", at(7 * i)) for i in range(9)], schema)
+    run = lambda: sorted(tuple(r) for r in nearest_join(left, right, ["k"], "t", "id", "t", "id", 36 * HOUR_US).collect())
+    want = run()
+    monkeypatch.setattr(tick_join, "HOT_ROWS", 20)
+    assert run() == want and len(want) == 200
