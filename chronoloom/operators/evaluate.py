@@ -44,6 +44,12 @@ def valid_counts(df: DataFrame, features: Sequence[str], target: str, by: Sequen
     return with_roles(df).groupBy(*by, "eval_fold").agg(*aggs)
 
 
+def require_estimable(counts: DataFrame) -> None:
+    """Raise unless some fold has complete cases both to train and to test on; counts as from valid_counts."""
+    if counts.where("train_valid > 0 AND test_valid > 0").isEmpty():
+        raise ValueError("no fold has complete cases in both train and test")
+
+
 def har_coefficients(df: DataFrame, by: Sequence[str] = ("ticker",), x: Sequence[str] = ("rv_d", "rv_w", "rv_m"), y: str = "target_rv5") -> DataFrame:
     """(by, eval_fold, b0, b1, b2, b3): least squares on the complete training rows of each fold.
 

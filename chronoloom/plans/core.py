@@ -245,6 +245,32 @@ def fold_valid_counts(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.valid_counts(_folded(spark, d), _HAR_X, "target_rv5")
 
 
+FEATURE_SETS = {
+    "price": ("realized_vol_5d", *features.PRICE_FEATURES),
+    "price+finbert": ("realized_vol_5d", *features.PRICE_FEATURES, "finbert_pos_mean", "days_since_last_call"),
+    "price+news": ("realized_vol_5d", *features.PRICE_FEATURES, "news_sent_mean", "news_count"),
+    "price+all": ("realized_vol_5d", *features.PRICE_FEATURES, "finbert_pos_mean", "days_since_last_call", "news_sent_mean", "news_count"),
+}
+
+
+def _complete(columns: tuple[str, ...]) -> str:
+    return " AND ".join(f"{c} IS NOT NULL" for c in (*columns, "target_rv5"))
+
+
+@query(f"""{_FOLDS}, {_CALLS}, {_NEWS},
+z AS (SELECT r.*, c.pos_mean AS finbert_pos_mean, c.call_date AS days_since_last_call, n.news_sent_mean, n.news_count
+  FROM r ASOF LEFT JOIN calls c ON r.ticker = c.ticker AND r.date > c.call_date ASOF LEFT JOIN nw n ON r.ticker = n.ticker AND r.date >= n.as_of)
+SELECT feature_set, ticker, count(*) FILTER (a > 0 AND b > 0) AS n_folds FROM ({" UNION ALL ".join(
+    f"SELECT '{n}' AS feature_set, ticker, eval_fold, count(*) FILTER (role = 'train' AND {_complete(c)}) AS a, count(*) FILTER (role = 'test' AND {_complete(c)}) AS b FROM z GROUP BY ALL" for n, c in FEATURE_SETS.items())}) GROUP BY ALL""")
+def estimable_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The preflight: for each feature set and ticker, the folds that can be trained and tested."""
+    df = evaluate.with_roles(evaluate.with_fold(_enriched(spark, d)))
+    ok = [F.count_if((F.col("role") == r) & F.expr(_complete(c))).alias(f"{r}|{n}") for n, c in FEATURE_SETS.items() for r in ("train", "test")]
+    per_fold = df.groupBy("ticker", "eval_fold").agg(*ok)
+    both = [F.count_if((F.col(f"`train|{n}`") > 0) & (F.col(f"`test|{n}`") > 0)).alias(n) for n in FEATURE_SETS]
+    return per_fold.groupBy("ticker").agg(*both).unpivot(["ticker"], [F.col(f"`{n}`") for n in FEATURE_SETS], "feature_set", "n_folds")
+
+
 @query(f"{_ME} SELECT ticker, date, CAST(fold AS INTEGER) AS fold, round(pred, 6) AS pred, round(actual, 6) AS actual FROM p WHERE model = 'har'")
 def walkforward_har(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(evaluate.forecasts(_folded(spark, d)).where("model = 'har'").select("ticker", "date", "fold", "pred", "actual"))
@@ -295,14 +321,14 @@ def persistence_guardrail(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def gbt_forecast(spark: SparkSession, d: str) -> DataFrame:
     """Errors of boosted trees on the price features, by fold."""
-    rows = models.gbt_forecasts(_folded(spark, d), ("realized_vol_5d", *features.PRICE_FEATURES))
+    rows = models.gbt_forecasts(_folded(spark, d), FEATURE_SETS["price"])
     return evaluate.metrics(rows)
 
 
 @query()
 def gbt_importance(spark: SparkSession, d: str) -> DataFrame:
     """The largest importances of a fit to all complete rows, with each feature's family."""
-    gains = models.importance(_enriched(spark, d), ("realized_vol_5d", *features.PRICE_FEATURES, "finbert_pos_mean", "days_since_last_call", "news_sent_mean", "news_count"))
+    gains = models.importance(_enriched(spark, d), FEATURE_SETS["price+all"])
     return gains.withColumn("family", family(F.col("feature"))).orderBy(F.desc("gain"), "feature").limit(15)
 
 

@@ -42,6 +42,30 @@ def p6_rolling_totals(spark: SparkSession, d: str) -> DataFrame:
     return rolling.ticker_totals(table(spark, d, "news_scores"), table(spark, d, "nvda_prices"), table(spark, d, "price_features"))
 
 
+_P4_SPIKE = " UNION ALL ".join(
+    f"""SELECT ticker, f, unnest([{", ".join(["date", "d1", "d2"][:k])}]) AS date, habit FROM s, LATERAL (SELECT {" + ".join(xs[:k])} AS total) WHERE
+  {" AND ".join(f"sign({x} - p) = sign(x - p)" for x in xs[:k])} AND sign(x - p) <> 0
+  AND abs(x{k} - p) < 0.5 * least({", ".join(f"abs({x} - p)" for x in xs[:k])})
+  AND least(abs(total / {k} - (p + x{k}) / 2), {", ".join(f"abs({x} - p), abs({x} - x{k})" for x in xs[:k])}, {", ".join(["off", "off1", "off2"][:k])}) >= greatest(7.5 * habit, CASE WHEN f = 'volume' THEN 2.0 ELSE 0.0 END)"""
+    for k, xs in ((k, ["x", "x1", "x2"]) for k in (1, 2, 3))
+)
+_P4 = f"""
+WITH r AS (SELECT bar_id, ticker, date, 'close' AS f, close AS v FROM nvda_prices UNION ALL SELECT bar_id, ticker, date, 'volume', volume FROM nvda_prices),
+u AS (SELECT ticker, f, date, max(v) AS v FROM r WHERE ticker IS NOT NULL AND date IS NOT NULL GROUP BY ALL),
+e AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY ticker, f ORDER BY date) THEN 0 ELSE 1 END AS fresh FROM u),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY ticker, f ORDER BY date) AS run FROM e),
+stuck AS (SELECT ticker, f, date FROM (SELECT *, count(*) OVER (PARTITION BY ticker, f, run) AS n FROM g) WHERE n >= 5 AND fresh = 0 AND v > 0),
+x0 AS (SELECT ticker, f, date, ln(v) AS x FROM u WHERE v > 0),
+x1 AS (SELECT *, lag(x) OVER w AS p, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2, lead(x, 3) OVER w AS x3, lead(date, 1) OVER w AS d1, lead(date, 2) OVER w AS d2,
+  abs(x - median(x) OVER (PARTITION BY ticker, f ORDER BY date ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING)) AS off FROM x0 WINDOW w AS (PARTITION BY ticker, f ORDER BY date)),
+x2 AS (SELECT *, lead(off, 1) OVER w AS off1, lead(off, 2) OVER w AS off2 FROM x1 WINDOW w AS (PARTITION BY ticker, f ORDER BY date)),
+h AS (SELECT ticker, f, 1.4826 * median(abs(x - p)) AS habit FROM x2 WHERE x <> p GROUP BY ALL),
+s AS (SELECT x2.*, habit FROM x2 JOIN h USING (ticker, f)),
+spike AS ({_P4_SPIKE}),
+odd AS (SELECT ticker, f, date, 'spike' AS kind FROM spike UNION SELECT ticker, f, date, 'stuck' FROM stuck),
+o AS (SELECT bar_id, f, 'impossible' AS kind FROM r WHERE v <= 0 UNION ALL SELECT bar_id, r.f, kind FROM r JOIN odd ON odd.ticker = r.ticker AND odd.f = r.f AND odd.date = r.date WHERE r.v > 0)
+SELECT bar_id, f AS field_name, min(kind) AS kind FROM o GROUP BY ALL"""
+
 _P3 = """
 SELECT b.bar_id, s.score_id, s.pos_mean,
   row_number() OVER (PARTITION BY b.bar_id ORDER BY s.call_date DESC, s.scored_at DESC, s.score_id DESC) AS rn
@@ -86,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "p3_found": f"SELECT bar_id, score_id FROM ({_P3}) WHERE rn = 1",
     "p3_bars_with_scores": f"SELECT b.bar_id, b.ticker, b.date, k.score_id, k.pos_mean FROM nvda_prices b LEFT JOIN (SELECT * FROM ({_P3}) WHERE rn = 1) k ON k.bar_id = b.bar_id",
+    "p4_found": f"SELECT bar_id, field_name FROM ({_P4})",
+    "p4_kinds": f"SELECT field_name, kind, count(bar_id) AS n_readings FROM ({_P4}) GROUP BY ALL",
     "p6_found": f"""
 WITH {_P6_NEWS},
 span AS (SELECT ticker, min(d) AS lo, max(d) AS hi FROM n GROUP BY ticker),
