@@ -105,6 +105,15 @@ def p10_shared_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
 
 
+_P9 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dk AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13),
+ik AS (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13),
+dg AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM dk), ig AS (SELECT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM ik)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_record_counts": p1_record_counts,
@@ -126,4 +135,6 @@ SQL: dict[str, str] = {
     "p1_record_counts": _P1_KEYS + "SELECT min(id) AS article_id, count(*) AS n_copies, false AS collided FROM k GROUP BY whole",
     "p7_found": f"SELECT pairing, left_id, right_id FROM ({_P7}) WHERE rn = 1",
     "p7_distances": f"SELECT pairing, us // 3600000000 AS hours, count(*) AS n_pairs FROM ({_P7}) WHERE rn = 1 GROUP BY ALL",
+    "p9_found": _P9,
+    "p9_items": f"SELECT item_id, count(*) AS n_docs FROM ({_P9}) GROUP BY item_id",
 }

@@ -236,7 +236,7 @@ def shared_share(documents: DataFrame, span: int = 300) -> DataFrame:
 
     class_id: the smallest doc_id with the same text; n_copies: documents with it; n_links: other texts that
     share a stretch with it; shared_chars: characters that lie in a stretch of `span` characters or more that
-    another document has, to the letter. Null texts count as empty.
+    another document has, to the letter. Documents without id or text have no row.
     """
     classes, stretches = shared_windows(documents, span)
     stretches = cut(stretches, "stretches")
