@@ -45,35 +45,36 @@ def missing_markers(text: Column, markers: tuple[str, ...]) -> Column:
     return F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: ~F.coalesce(F.contains(text, m), F.lit(False)))
 
 
-class _Visible(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.depth, self.out = 0, []
-
-    def handle_starttag(self, tag, attrs):  # noqa: ANN001
-        self.depth += tag in HIDDEN
-        if tag in BREAKING:
-            self.out.append("\n")
+class _Events(HTMLParser):
+    """A page as a list of (what, value): open or close with a tag, or text."""
 
-    def handle_endtag(self, tag):  # noqa: ANN001
-        if tag in HIDDEN and self.depth:
-            self.depth -= 1
-        if tag in BREAKING and tag != "br":
-            self.out.append("\n")
-
-    def handle_data(self, data):  # noqa: ANN001
-        if not self.depth and (words := data.split()):
-            self.out.append(" ".join(words))
+    def __init__(self, page: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, str]] = []
+        add = self.found.append
+        self.handle_starttag = lambda tag, _: add(("open", tag))
+        self.handle_endtag = lambda tag: add(("close", tag))
+        self.handle_data = lambda data: add(("text", data))
+        self.feed(page)
+        self.close()
 
 
 def visible_text(html: str | None) -> str | None:
     """What a page shows: a line per block, pieces of a line joined as they stand, blank lines left out."""
     if html is None:
         return None
-    p = _Visible()
-    p.feed(html)
-    p.close()
-    return "\n".join(" ".join(line.split()) for line in "".join(p.out).splitlines() if line.strip()) + "\n"
+    lines, hidden = [[]], 0
+    for what, value in _Events(html).found:
+        if what == "text":
+            if not hidden:
+                lines[-1].append(" ".join(value.split()))
+            continue
+        if value in HIDDEN:
+            hidden = max(0, hidden + (1 if what == "open" else -1))
+        if value in BREAKING and (what, value) != ("close", "br"):
+            lines.append([])
+    shown = filter(None, map("".join, lines))
+    return "\n".join(shown) + "\n"
 
 
 def visible(df: DataFrame, html: str, out: str) -> DataFrame:

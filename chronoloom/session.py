@@ -12,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 64 << 20
+
+
 def get_session(app: str = "chronoloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for; a cluster's own settings win."""
     b = SparkSession.builder.appName(app)
@@ -48,6 +51,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, Path("chronoloom") / p.relative_to(root))
     sc.addPyFile(str(path))
     sc._chronoloom_sent = True
+    # batches of long texts are bounded by their bytes, where this Spark can do that
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None or int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 _written: list[tuple[SparkSession, str]] = []
