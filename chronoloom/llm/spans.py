@@ -22,6 +22,7 @@ from chronoloom.session import cut
 BASE = 64
 #: Characters that are hashed together in one go.
 BATCH_CHARS = 1 << 19
+SECTION = 1 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -134,15 +135,18 @@ def _wide_windows(span: int):
                 p = np.asarray(places, np.int64)
                 begin = np.unique((p[:, None] - np.array(offsets(span))[None, :]).ravel())
                 begin = begin[(begin >= 0) & (begin + 4 * BASE <= len(text))]
-                mixed = _mix(_codes([text]))
-                h, g = (_final(_doubled(mixed, 1, b, 4 * BASE)) for b in (_B, _B2))
-                for s in begin.tolist():
-                    out["class_id"].append(class_id)
-                    out["start"].append(s)
-                    out["h256"].append(int(h[s]))
-                    out["h256b"].append(int(g[s]))
-                    out["before"].append(text[max(0, s - slack) : s][::-1])
-                    out["after"].append(text[s + 4 * BASE : s + 4 * BASE + slack])
+                # in sections, so that a very long text needs no more memory than they do
+                for section in np.unique(begin // SECTION).tolist():
+                    low = section * SECTION
+                    mixed = _mix(_codes([text[low : low + SECTION + 4 * BASE]]))
+                    h, g = (_final(_doubled(mixed, 1, b, 4 * BASE)) for b in (_B, _B2))
+                    for s in begin[begin // SECTION == section].tolist():
+                        out["class_id"].append(class_id)
+                        out["start"].append(s)
+                        out["h256"].append(int(h[s - low]))
+                        out["h256b"].append(int(g[s - low]))
+                        out["before"].append(text[max(0, s - slack) : s][::-1])
+                        out["after"].append(text[s + 4 * BASE : s + 4 * BASE + slack])
             yield pd.DataFrame(out)
 
     return run
