@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import text as tx
 from chronoloom.operators import asof, bars, eda, evaluate, features, models, news
+from chronoloom.session import cut
 from chronoloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,11 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return features.bar_features(_bars(spark, d))
 
 
+def _kept_features(spark: SparkSession, d: str) -> DataFrame:
+    """The features as a table, for plans that read them more than once."""
+    return cut(_features(spark, d), "features")
+
+
 _BARS = """
 bars AS (SELECT ticker, date, open, high, low, close, volume FROM (SELECT *, row_number() OVER
   (PARTITION BY ticker, date ORDER BY loaded_at DESC, bar_id DESC) AS k FROM nvda_prices
@@ -173,8 +179,9 @@ def asof_days_since(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _enriched(spark: SparkSession, d: str) -> DataFrame:
-    df = _features(spark, d)
+    df = _kept_features(spark, d)
     df = asof.asof_join(df, _calls(spark, d), ["ticker"], "date", "call_date", strict=True, precedence=["score_id"], out="call")
+    df = cut(df, "with_calls")
     df = asof.asof_join(df, _news(spark, d), ["ticker"], "date", "as_of", precedence=["news_id"], out="news")
     days = F.datediff(F.to_date("date"), F.to_date("call.call_date")).cast("double")
     return df.withColumns({"finbert_pos_mean": F.col("call.pos_mean"), "days_since_last_call": days, "news_sent_mean": F.col("news.news_sent_mean"), "news_count": F.col("news.news_count").cast("double")}).drop("call", "news")
@@ -226,11 +233,11 @@ _ME = _har_sql()
 
 
 def _folded(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.with_fold(_features(spark, d))
+    return evaluate.with_fold(_kept_features(spark, d))
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.metrics(evaluate.forecasts(_folded(spark, d)))
+    return cut(evaluate.metrics(evaluate.forecasts(_folded(spark, d))), "metrics")  # a few rows, read more than once
 
 
 @query(f"{_FOLDS} SELECT ticker, date, CAST(fold AS INTEGER) AS fold FROM x")
@@ -264,7 +271,7 @@ SELECT feature_set, ticker, count(*) FILTER (a > 0 AND b > 0) AS n_folds FROM ({
     f"SELECT '{n}' AS feature_set, ticker, eval_fold, count(*) FILTER (role = 'train' AND {_complete(c)}) AS a, count(*) FILTER (role = 'test' AND {_complete(c)}) AS b FROM z GROUP BY ALL" for n, c in FEATURE_SETS.items())}) GROUP BY ALL""")
 def estimable_sets(spark: SparkSession, d: str) -> DataFrame:
     """The preflight: for each feature set and ticker, the folds that can be trained and tested."""
-    df = evaluate.with_roles(evaluate.with_fold(_enriched(spark, d)))
+    df = evaluate.with_roles(evaluate.with_fold(cut(_enriched(spark, d), "enriched")))
     ok = [F.count_if((F.col("role") == r) & F.expr(_complete(c))).alias(f"{r}|{n}") for n, c in FEATURE_SETS.items() for r in ("train", "test")]
     per_fold = df.groupBy("ticker", "eval_fold").agg(*ok)
     both = [F.count_if((F.col(f"`train|{n}`") > 0) & (F.col(f"`test|{n}`") > 0)).alias(n) for n in FEATURE_SETS]
@@ -371,7 +378,7 @@ def quantiles(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_F}, k AS (SELECT unnest([1, 5, 10]) AS lag)
 SELECT a.ticker, CAST(lag AS INTEGER) AS lag, round(corr(a.returns, b.returns), 6) AS acf FROM f a, k, f b WHERE b.ticker = a.ticker AND b.rn = a.rn - lag AND a.returns IS NOT NULL AND b.returns IS NOT NULL GROUP BY ALL""")
 def autocorrelation(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(eda.autocorrelation(_features(spark, d), ["ticker"], "returns", (1, 5, 10)))
+    return _rounded(eda.autocorrelation(_kept_features(spark, d), ["ticker"], "returns", (1, 5, 10)))
 
 
 @query(f"{_F} SELECT ticker, CAST(regr_count(rv5_strict, lv) AS BIGINT) AS n, {', '.join(f'round({e}(rv5_strict, lv), 6) AS {n}' for e, n in (('regr_slope', 'slope'), ('regr_intercept', 'intercept'), ('corr', 'r')))} FROM f GROUP BY ticker")
@@ -385,7 +392,7 @@ def ols_simple(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT ticker, avg(abs(realized_vol_5d - rv_d)) AS naive_mae, sqrt(avg(power(realized_vol_5d - rv_d, 2))) AS naive_rmse, avg(abs(realized_vol_5d - m)) AS mean_mae FROM c GROUP BY ticker)
 SELECT ticker, {_cols("naive_mae", "naive_rmse", "mean_mae")}, round(1 - naive_mae / nullif(mean_mae, 0), 6) AS skill FROM g""")
 def skill_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(eda.skill(_features(spark, d), ["ticker"], "realized_vol_5d", "rv_d"))
+    return _rounded(eda.skill(_kept_features(spark, d), ["ticker"], "realized_vol_5d", "rv_d"))
 
 
 @query(f"{_F} SELECT ticker, CAST(CASE WHEN returns < -0.1 THEN 0 WHEN returns >= 0.1 THEN 21 ELSE floor((returns + 0.1) / 0.2 * 20) + 1 END AS BIGINT) AS bin, count(*) AS n FROM f WHERE returns IS NOT NULL GROUP BY ALL")
@@ -422,7 +429,7 @@ def day_windows(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_F} SELECT 'price' AS span, min(date) AS first_date, max(date) AS last_date FROM f UNION ALL SELECT 'target', min(date), max(date) FROM f WHERE target_rv5 IS NOT NULL
 UNION ALL SELECT 'features', min(date), max(date) FROM f WHERE ret_lag_21 IS NOT NULL AND vol_lag_21 IS NOT NULL UNION ALL SELECT 'news', min(as_of), max(as_of) FROM news_scores""")
 def date_ranges(spark: SparkSession, d: str) -> DataFrame:
-    f = _features(spark, d)
+    f = _kept_features(spark, d)
     span = lambda df, n, c: df.agg(F.min(c).alias("first_date"), F.max(c).alias("last_date")).select(F.lit(n).alias("span"), "first_date", "last_date")
     return span(f, "price", "date").unionByName(span(f.where("target_rv5 IS NOT NULL"), "target", "date")).unionByName(span(f.where("ret_lag_21 IS NOT NULL AND vol_lag_21 IS NOT NULL"), "features", "date")).unionByName(span(table(spark, d, "news_scores"), "news", "as_of"))
 
