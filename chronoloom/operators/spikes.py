@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.blocks import blocked_scan
+from chronoloom.session import cut
 
 CHUNK, OVERLAP = 1024, 16
 #: Widths of spikes, in bars.
@@ -104,8 +105,9 @@ def implausible(bars: DataFrame, by: str = "ticker", time: str = "date", key: st
     flat = F.array(*[F.struct(F.lit(r.field).alias("field_name"), F.col(r.field).cast("double").alias("v")) for r in readings])
     rows = bars.select(key, by, time, F.inline(flat)).where("v is not null and not isnan(v)")
     impossible = rows.where("v <= 0").select(key, "field_name", F.lit("impossible").alias("kind"))
-    series = _series(bars, by, time, readings)
-    details = _details(series, by, time)
+    # tables, as each is read several times
+    series = cut(_series(bars, by, time, readings), "series")
+    details = cut(_details(series, by, time), "details")
     habit = details.where("step <> 0").groupBy(by, "field_name").agg((1.4826 * F.percentile_approx(F.abs("step"), 0.5, 10_000)).alias("habit"))
     limit: Column = F.lit(None).cast("double")
     for r in readings:
