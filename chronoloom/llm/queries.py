@@ -28,7 +28,7 @@ WITH v AS (SELECT article_id AS id, url, title, source_name,
   regexp_extract(url, '(?s)^([^?#]*)\\?([^#]*)(.*)$', 1) AS u1, regexp_extract(url, '(?s)^([^?#]*)\\?([^#]*)(.*)$', 2) AS u2,
   regexp_extract(url, '(?s)^([^?#]*)\\?([^#]*)(.*)$', 3) AS u3 FROM article_score
   WHERE url IS NOT NULL AND title IS NOT NULL AND source_name IS NOT NULL),
-c AS (SELECT id, CASE WHEN contains(url, '?') THEN
+c AS (SELECT id, CASE WHEN regexp_matches(url, '(?s)^([^?#]*)\\?([^#]*)(.*)$') THEN
     regexp_replace(lower(u1), '[^\\p{L}\\p{Nd}]+', '', 'g')
     || array_to_string(list_sort(list_transform(string_split(u2, '&'), lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{Nd}]+', '', 'g'))), '')
     || regexp_replace(lower(u3), '[^\\p{L}\\p{Nd}]+', '', 'g')
