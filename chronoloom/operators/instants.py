@@ -9,8 +9,8 @@ from chronoloom.functions.timestamps import with_utc_millis
 
 #: A lookup of feeds up to this size is sent to every executor; a larger one is joined by shuffle.
 LOOKUP_BYTES = 8 << 20
-#: Texts that are in the wanted form already: field -> pattern.
-NORMAL = {"published_at": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$", "as_of": r"^\d{4}-\d{2}-\d{2}$"}
+#: Texts that are in the wanted form already, to the letter: field -> pattern. `$` would let a final line end pass.
+NORMAL = {"published_at": r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z\z", "as_of": r"\A\d{4}-\d{2}-\d{2}\z"}
 
 
 def with_feed(articles: DataFrame, feeds: DataFrame) -> DataFrame:

@@ -60,3 +60,11 @@ def test_edges(spark, rows):
     assert rows(renormalised(df, feeds)) == [(1, "published_at", ms(2024, 1, 2)), (2, "as_of", ms(2024, 1, 2))]
     assert article_instants(df, feeds).count() == 3
     assert renormalised(df.limit(0), feeds.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_a_line_end_is_not_the_normal_form(spark, rows, end):
+    schema = "article_id bigint, feed string, published_at string, as_of string"
+    feeds = spark.createDataFrame([("a", "Asia/Tokyo", "DMY")], "feed string, zone_name string, date_order string")
+    df = spark.createDataFrame([(1, "a", "2024-01-02T03:04:05Z" + end, "2024-01-02" + end), (2, "a", "2024-01-02T03:04:05Z", "2024-01-02")], schema)
+    assert rows(renormalised(df, feeds)) == [(1, "as_of", ms(2024, 1, 2)), (1, "published_at", ms(2024, 1, 2, 3, 4, 5))]
