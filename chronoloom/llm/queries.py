@@ -41,6 +41,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return vector_cells.replay(table(spark, d, "article_score"), table(spark, d, "feeds"))
 
 
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Per article of a later batch, the nearest address that an earlier batch brought at about the same time."""
+    return vector_cells.replay_nearest(table(spark, d, "article_score"), table(spark, d, "feeds"))
+
+
 def p5_batches(spark: SparkSession, d: str) -> DataFrame:
     """Per batch, the articles that earlier batches had brought already."""
     batch = table(spark, d, "article_score").select("article_id", "batch_id")
@@ -118,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_record_counts": p1_record_counts,
     "p5_found": p5_found,
+    "p5_nearest": p5_nearest,
     "p5_batches": p5_batches,
     "p7_found": p7_found,
     "p7_distances": p7_distances,
