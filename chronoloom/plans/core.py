@@ -350,13 +350,29 @@ _UNION_FEATURES = ("ret_lag_1", "ret_lag_21", "vol_lag_5", "rsi_14", "vol_zscore
 @query(f"""{_F}, c AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, abs(corr({n}, target_rv5)) AS strength FROM f" for n in _UNION_FEATURES)})
 SELECT feature, round(strength, 6) AS strength, 'price' AS family FROM c ORDER BY strength DESC, feature LIMIT 3""")
 def topk_features(spark: SparkSession, d: str) -> DataFrame:
-    """The three features that go along with the target most."""
-    f = _features(spark, d)
-    one = f.agg(*[F.abs(F.corr(n, "target_rv5")).alias(n) for n in _UNION_FEATURES])
-    long = one.unpivot([], list(_UNION_FEATURES), "feature", "strength")
+    """Of the five features in _UNION_FEATURES, the three that go along with the target most."""
+    return _strongest(_features(spark, d), _UNION_FEATURES)
+
+
+def _strongest(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    # corr by its sums, as corr itself fails on a constant feature; that has no strength
+    strength = lambda n: F.try_divide(F.abs(F.regr_sxy("target_rv5", n)), F.sqrt(F.regr_sxx("target_rv5", n)) * F.sqrt(F.regr_syy("target_rv5", n)))
+    long = df.agg(*[strength(n).alias(n) for n in names]).unpivot([], list(names), "feature", "strength").where("strength IS NOT NULL AND NOT isnan(strength)")
     return long.orderBy(F.desc("strength"), "feature").limit(3).select("feature", F.round("strength", 6).alias("strength"), family(F.col("feature")).alias("family"))
 
 
+@query(f"""{_F}, {_CALLS}, {_NEWS},
+z AS (SELECT f.*, c.pos_mean AS finbert_pos_mean, CAST(date_diff('day', CAST(c.call_date AS DATE), CAST(f.date AS DATE)) AS DOUBLE) AS days_since_last_call,
+  n.news_sent_mean, CAST(n.news_count AS DOUBLE) AS news_count
+  FROM f ASOF LEFT JOIN calls c ON f.ticker = c.ticker AND f.date > c.call_date ASOF LEFT JOIN nw n ON f.ticker = n.ticker AND f.date >= n.as_of),
+s AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, abs(corr({n}, target_rv5)) AS strength FROM z" for n in FEATURE_SETS["price+all"])})
+SELECT feature, round(strength, 6) AS strength, CASE WHEN starts_with(feature, 'finbert_') OR feature = 'days_since_last_call' THEN 'finbert' WHEN starts_with(feature, 'news_') THEN 'news' ELSE 'price' END AS family
+FROM s WHERE strength IS NOT NULL AND NOT isnan(strength) ORDER BY s.strength DESC, feature LIMIT 3""")
+def topk_all_features(spark: SparkSession, d: str) -> DataFrame:
+    """Of all features, those of calls and news too, the three that go along with the target most."""
+    return _strongest(_enriched(spark, d), FEATURE_SETS["price+all"])
+
+
 # statistics
 
 _M = "avg(power(returns - m, {})) "
