@@ -332,6 +332,31 @@ def gbt_forecast(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.metrics(rows)
 
 
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    """The errors of the trees by feature set (as model) and fold: a walk-forward for each, on its complete cases. Raises
+    before any fit if a set has none."""
+    df = cut(evaluate.with_fold(_enriched(spark, d)), "enriched")
+    for columns in FEATURE_SETS.values():
+        evaluate.require_estimable(evaluate.valid_counts(df, columns, "target_rv5", by=()))
+    out = None
+    for name, columns in FEATURE_SETS.items():
+        one = models.gbt_forecasts(df, columns).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return cut(evaluate.metrics(out), "metrics")
+
+
+@query()
+def ablation_feature_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The ablation of the feature sets: a row of errors for each, with its overall mae against that of price alone.
+
+    n_test is the number of rows that the errors are of: sets with calls or news have fewer complete cases.
+    """
+    m = _compared(spark, d)
+    rel = evaluate.relative_to(m, "price").where("fold = 0").select("model", "delta_abs", "delta_rel")
+    overall = m.where("fold = 0").select("model", "n_test")
+    return evaluate.ablation_table(m).join(overall, "model").join(rel, "model").withColumnRenamed("model", "feature_set")
+
+
 @query()
 def gbt_importance(spark: SparkSession, d: str) -> DataFrame:
     """The largest importances of a fit to all complete rows, with each feature's family."""
