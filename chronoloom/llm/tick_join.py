@@ -23,10 +23,6 @@ HOT_ROWS = 200_000
 PARTS = 32
 
 
-def _times(df: DataFrame, by: Sequence[str], at: str, key: str, name: str) -> DataFrame:
-    return df.select(*by, micros(F.col(at)).alias("t"), F.col(key).alias(name)).na.drop(subset=[*by, "t", name])
-
-
 def _sided(df: DataFrame, by: Sequence[str], befores: Column, afters: Column, before: str, after: str) -> DataFrame:
     """Per entity and tick the latest time (with its id) of `befores` rows and the earliest of `afters` rows; plain numbers, so that it is hashed."""
     b, a = F.when(befores, F.col(before)), F.when(afters, F.col(after))
@@ -48,9 +44,14 @@ def nearest_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time
     tick_us = tick_us or max(1, tolerance_us // 3)
     reach = -(-tolerance_us // tick_us)
     tick = F.floor(F.col("t") / tick_us)
-    lefts = left.select(*by, *keep, micros(F.col(left_time)).alias("t"), F.col(left_id).alias("left_id")).na.drop(subset=[*by, "t", "left_id"]).withColumn("tick", tick)
+    names, kept = list(by), list(keep)
+    # the caller's names could clash with those in here
+    by, keep = [f"__by{i}" for i in range(len(names))], [f"__keep{i}" for i in range(len(kept))]
+    own = lambda df: [F.col(c).alias(b) for b, c in zip(by, names, strict=True) if c in df.columns]
+    lefts = left.select(*own(left), *[F.col(c).alias(k) for k, c in zip(keep, kept, strict=True)], micros(F.col(left_time)).alias("t"), F.col(left_id).alias("left_id")).na.drop(subset=[*by, "t", "left_id"]).withColumn("tick", tick)
     # one row per entity and time: the smallest id
-    rights = _times(right, by, right_time, right_id, "right_id").groupBy(*by, "t").agg(F.min("right_id").alias("right_id")).withColumn("tick", tick)
+    rights = right.select(*own(right), micros(F.col(right_time)).alias("t"), F.col(right_id).alias("right_id")).na.drop(subset=[*by, "t", "right_id"])
+    rights = rights.groupBy(*by, "t").agg(F.min("right_id").alias("right_id")).withColumn("tick", tick)
     ends = rights.groupBy(*by, "tick").agg(F.min("t").alias("first"), F.min_by("right_id", "t").alias("first_id"), F.max("t").alias("last"), F.max_by("right_id", "t").alias("last_id"), F.count(F.lit(1)).alias("n"))
     told = ends.select(*by, "tick", "first", "first_id", "last", "last_id", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("k")).withColumn("tick", F.col("tick") + F.col("k"))
     nearest = _sided(told, by, F.col("k") > 0, F.col("k") < 0, "last", "first")
@@ -63,7 +64,7 @@ def nearest_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time
     # of equal distances the earlier one: twice the distance, and one more for the later side
     rank = F.col("distance_us") * 2 + (F.col("rt") > F.col("t")).cast("int")
     best = near.where(F.col("distance_us") <= tolerance_us).groupBy(*keep, "left_id").agg(F.min(rank).alias("m"), F.min_by("right_id", rank).alias("right_id"))
-    return best.select(*keep, "left_id", "right_id", F.floor(F.col("m") / 2).alias("distance_us"))
+    return best.select(*[F.col(k).alias(c) for k, c in zip(keep, kept, strict=True)], "left_id", "right_id", F.floor(F.col("m") / 2).alias("distance_us"))
 
 
 def _inside(lefts: DataFrame, rights: DataFrame, dense: DataFrame, by: Sequence[str], keep: Sequence[str]) -> DataFrame:
