@@ -2,7 +2,7 @@
 
 A fact is valid from the moment it is known until a better one is. Each half-open interval [start, end) is
 cut into dyadic nodes of a time line in ticks (as the nodes of a segment tree); an event lies in one node
-per level, so events and facts meet by an equi-join on (entity, level, node). A hot entity spreads over its
+per level in use, so events and facts meet by an equi-join on (entity, level, node). A hot entity spreads over its
 nodes. Matches are then held against the exact interval.
 """
 
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from chronoloom.operators.blocks import blocked_scan
 
 DAY_US = 86_400_000_000
+#: Levels of nodes: 1, 8 and 64 ticks. Every event is told to each level in use and every interval to at most 2 * (2^step - 1)
+#: nodes of each, so where events are many and intervals few, levels some steps apart move fewer rows than all.
+LEVELS = (0, 3, 6)
 
 
 def micros(ts: Column) -> Column:
@@ -24,34 +27,42 @@ def micros(ts: Column) -> Column:
     return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
 
 
-def dyadic_cover(lo: str, hi: str, levels: int) -> Column:
-    """The nodes (level, node) that tile the ticks [lo, hi): at most two per level, the top level in full."""
-    low = f"shiftright({lo} + shiftleft(1L, l) - 1, l)"
-    high = f"shiftright({hi}, l)"
-    top = levels - 1
-    return F.expr(
-        f"""concat(
-        flatten(transform(sequence(0, {top - 1}), l -> filter(array(
-            if({low} < {high} AND {low} % 2 != 0, struct(l AS level, {low} AS node), NULL),
-            if({low} < {high} AND {high} % 2 != 0, struct(l AS level, {high} - 1 AS node), NULL)), x -> x IS NOT NULL))),
-        transform(filter(array({top}), l -> {low} < {high}), l -> struct(l AS level, {low} AS node)),
-        flatten(transform(filter(array({top}), l -> {low} + 1 < {high}), l -> transform(sequence({low} + 1, {high} - 1), n -> struct(l AS level, n AS node)))))"""
-        if levels > 1
-        else f"transform(if({lo} < {hi}, sequence({lo}, {hi} - 1), array()), n -> struct(0 AS level, n AS node))"
-    )
-
-
-def enclosing_nodes(tick: str, levels: int) -> Column:
+def _levels(levels: int | Sequence[int]) -> list[int]:
+    """The node levels in use, ascending from 0: a number stands for that many in a row."""
+    out = list(range(levels)) if isinstance(levels, int) else list(levels)
+    if not out or out[0] != 0 or out != sorted(set(out)):
+        raise ValueError("levels must ascend from 0")
+    return out
+
+
+def dyadic_cover(lo: str, hi: str, levels: int | Sequence[int]) -> Column:
+    """The nodes (level, node) of the given levels that tile the ticks [lo, hi), the largest that fit; the top level in full."""
+    use = _levels(levels)
+    parts = []
+    for i, level in enumerate(use):
+        low, high = f"shiftright({lo} + shiftleft(1L, {level}) - 1, {level})", f"shiftright({hi}, {level})"
+        nodes = lambda a, b, level=level: f"transform(if({a} < {b}, sequence({a}, {b} - 1), array()), n -> struct({level} AS level, n AS node))"
+        if i + 1 == len(use):
+            parts.append(nodes(low, high))
+            continue
+        up, step = use[i + 1], use[i + 1] - level
+        first, end = f"shiftright({lo} + shiftleft(1L, {up}) - 1, {up})", f"shiftright({hi}, {up})"
+        # what the next level leaves over: all of it, or a piece on either side
+        parts.append(f"if({first} < {end}, concat({nodes(low, f'shiftleft({first}, {step})')}, {nodes(f'shiftleft({end}, {step})', high)}), {nodes(low, high)})")
+    return F.expr(f"concat({', '.join(parts)})")
+
+
+def enclosing_nodes(tick: str, levels: int | Sequence[int]) -> Column:
     """The one node of each level in which a tick lies."""
-    return F.expr(f"transform(sequence(0, {levels - 1}), l -> struct(l AS level, shiftright({tick}, l) AS node))")
+    return F.expr(f"array({', '.join(f'struct({level} AS level, shiftright({tick}, {level}) AS node)' for level in _levels(levels))})")
 
 
-def interval_join(events: DataFrame, facts: DataFrame, by: Sequence[str], at: str, start: str, end: str, tick_us: int = DAY_US, levels: int = 8) -> DataFrame:
+def interval_join(events: DataFrame, facts: DataFrame, by: Sequence[str], at: str, start: str, end: str, tick_us: int = DAY_US, levels: int | Sequence[int] = LEVELS) -> DataFrame:
     """Inner join of events with the facts of the same entity for which start <= at < end (microseconds).
 
     Columns: by, then the events' other columns, then the facts' other ones (names must not clash: rename
     before). Null entity, time or bound: no match. Overlapping facts all match. Neither side is broadcast
-    by force; the work per interval is at most 2 * levels nodes plus its length / 2^(levels-1) ticks.
+    by force; an interval has at most 2 * (2^step - 1) nodes of each level but the top, where it has its length / 2^level.
     """
     cover = facts.na.drop(subset=[*by, start, end]).where(F.col(start) < F.col(end))
     cover = cover.withColumn("__lo", F.floor(F.col(start) / tick_us)).withColumn("__hi", F.ceil(F.col(end) / tick_us))

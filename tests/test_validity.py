@@ -63,3 +63,14 @@ def test_future_scores_change_nothing(spark, rows):
     before = rows(as_known(bars, spark.createDataFrame(old, schema)).where("bar_id < 12"))
     after = rows(as_known(bars, spark.createDataFrame([*old, (3, "A", day(9), 9.0, day(12)), (4, "A", day(12), 9.0, day(1))], schema)).where("bar_id < 12"))
     assert before == after
+
+
+def test_cover_by_levels_some_steps_apart(spark):
+    pairs = [(a, b) for a in (-70, -9, 0, 1, 5, 64) for b in (-70, -2, 0, 1, 7, 63, 64, 200, 1000)]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint")
+    for levels in ((0, 3, 6), (0, 2), (0, 5)):
+        step = max(b - a for a, b in zip(levels, levels[1:], strict=False))
+        for r in df.withColumn("n", dyadic_cover("a", "b", levels)).collect():
+            ticks = [t for x in r["n"] for t in range(x["node"] << x["level"], (x["node"] + 1) << x["level"])]
+            assert sorted(ticks) == list(range(r["a"], r["b"])) and {x["level"] for x in r["n"]} <= set(levels), (r, levels)
+            assert len(r["n"]) <= 2 * len(levels) * (1 << step) + max(0, r["b"] - r["a"]) // (1 << levels[-1])
