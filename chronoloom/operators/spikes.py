@@ -1,28 +1,32 @@
 """Readings that cannot be right: spikes, stuck values and impossible ones, by each source's own habit.
 
-An undecimated wavelet transform along each source's log readings. The scale-1 Haar detail is the step from
-bar to bar; its median absolute value is the source's habit. A spike of w bars stands out in the symmetric
-detail of width w (the bars' mean less the mean of their two neighbours), while a jump that stays does not.
-Runs of zero detail are stuck readings; bounds catch the impossible ones.
-
-Series are numbered by blocked scans and cut into chunks of rows with an overlap on both sides, so that no
+An undecimated wavelet decomposition along each source's log readings. Level 0 is the Haar detail, the step from bar
+to bar. Level w (1, 2, 3) is the symmetric detail of width w: the mean of w bars less that of the two bars beside them; it is
+blind to a level that stays and to a slope, and largest where w bars stand out and come back. Each level has its own
+robust scale per source (1.4826 times the median size of its details that are not zero). A spike of w bars is a detail of level w
+above DETAIL scales of its level, all of whose steps in and out are above STEP scales of level 0. Runs of zero details
+are stuck readings; bounds catch the impossible ones.
+
+Series are numbered in blocks and cut into chunks of rows with an overlap on both sides, so that no
 source has to fit into one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.operators.blocks import blocked_scan
 from chronoloom.session import cut
 
-CHUNK, OVERLAP = 1024, 16
-#: Widths of spikes, in bars.
+BLOCK_DAYS, CHUNK, OVERLAP = 512, 1024, 16
+#: Levels of symmetric details: the widths of spikes, in bars.
 WIDTHS = (1, 2, 3)
-#: Bars on each side that make the local level.
+#: How many robust scales of its level a detail, and of level 0 a spike's steps, must exceed.
+DETAIL, STEP = 8.0, 7.5
+#: Bars on each side whose median is the level that a spike comes back to.
 SIDE = 7
 #: A stuck run has at least so many bars.
 STUCK = 5
@@ -30,66 +34,75 @@ STUCK = 5
 
 @dataclass(frozen=True)
 class Reading:
-    """field: a column. scale: how many robust deviations of the step a spike leaves by; least: the least
-    departure in logs, for readings whose usual range is wide beside their median step."""
+    """field: a column. least: the least detail in logs that counts, whatever the scale, for readings whose
+    ordinary busy days are far from quiet ones (2.0: by a factor of seven)."""
 
     field: str
-    scale: float = 7.5
     least: float = 0.0
 
 
 READINGS = (Reading("close"), Reading("volume", least=2.0))
 
 
-def _chunks(df: DataFrame, number: str) -> DataFrame:
-    """Each row to its chunk (core) and, near a border, to the neighbouring one."""
-    n = F.col(number)
-    at = lambda k: F.floor((n + k) / CHUNK)
-    return df.withColumn("chunk", F.explode(F.array_distinct(F.array(at(0), at(OVERLAP), at(-OVERLAP))))).withColumn("core", F.col("chunk") == at(0))
-
-
 def _series(bars: DataFrame, by: str, time: str, readings: tuple[Reading, ...]) -> DataFrame:
-    """(by, field_name, time, v, rn, rp): a row per source, field and time; rn numbers all, rp the positive ones."""
-    each = F.array(*[F.struct(F.lit(r.field).alias("field_name"), F.when(~F.isnan(r.field), F.col(r.field)).cast("double").alias("v")) for r in readings])
-    long = bars.na.drop(subset=[by, time]).select(by, time, F.inline(each))
-    once = long.groupBy(by, "field_name", time).agg(F.max("v").alias("v"))
-    once = once.withColumns({"one": F.lit(1).cast("bigint"), "pos": (F.coalesce(F.col("v"), F.lit(0.0)) > 0).cast("bigint"), "block": F.floor(F.unix_date(F.col(time).cast("date")) / 64)})
-    return blocked_scan(once, [by, "field_name"], "block", [time], {"rn": ("sum", "one"), "rp": ("sum", "pos")}).drop("one", "block")
-
-
-def _stuck(series: DataFrame, by: str, time: str) -> DataFrame:
-    w = Window.partitionBy(by, "field_name", "chunk").orderBy("rn")
-    same = _chunks(series, "rn").withColumn("same", F.coalesce((F.col("v") == F.lag("v").over(w)).cast("int"), F.lit(0)))
-    ahead = same.withColumn("full", (F.sum("same").over(w.rowsBetween(0, STUCK - 2)) == STUCK - 1).cast("int"))
-    run = ahead.withColumn("hit", F.max("full").over(w.rowsBetween(2 - STUCK, 0)))
-    return run.where("core AND same = 1 AND hit = 1").select(by, "field_name", time, "v")
-
-
-def _details(series: DataFrame, by: str, time: str) -> DataFrame:
-    """(by, field_name, time, v, step, out): the scale-1 detail, and by how much the bar is part of a spike."""
-    w = Window.partitionBy(by, "field_name", "chunk").orderBy("rp")
-    df = _chunks(series.where("pos = 1"), "rp").withColumn("x", F.log("v"))
-    around = F.array_sort(F.collect_list("x").over(w.rowsBetween(-SIDE, SIDE)))
-    df = df.withColumn("around", around)
-    size = F.size("around")
-    df = df.withColumns({
-        "level": (F.element_at("around", F.floor((size + 1) / 2).cast("int")) + F.element_at("around", F.floor(size / 2).cast("int") + 1)) / 2,
-        "before": F.lag("x").over(w),
-        **{f"x{i}": F.lead("x", i).over(w) for i in range(1, max(WIDTHS) + 1)},
-    })
-    df = df.withColumns({"step": F.col("x") - F.col("before"), "off": F.abs(F.col("x") - F.col("level"))})
-    df = df.withColumns({f"off{i}": F.lead("off", i).over(w) for i in range(1, max(WIDTHS))})
-    xs, offs = [F.col("x")] + [F.col(f"x{i}") for i in range(1, max(WIDTHS) + 1)], [F.col("off")] + [F.col(f"off{i}") for i in range(1, max(WIDTHS))]
+    """(by, time, field, v, rn, rp): the positive readings, one per source, field and time; rn numbers all times of a
+    source from 1, rp the positive readings of a field."""
+    fields = range(len(readings))
+    largest = [F.max(F.when(~F.isnan(r.field), F.col(r.field)).cast("double")).alias(f"v{i}") for i, r in enumerate(readings)]
+    once = bars.na.drop(subset=[by, time]).select(F.col(by).alias("by"), F.col(time).alias("time"), *[r.field for r in readings]).groupBy("by", "time").agg(*largest)
+    once = once.withColumn("block", F.floor(F.unix_date(F.col("time").cast("date")) / BLOCK_DAYS))
+    w = Window.partitionBy("by", "block").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    positive = lambda i: F.when(F.col(f"v{i}") > 0, 1).otherwise(0).cast("bigint")
+    inner = once.withColumns({"rn": F.count(F.lit(1)).over(w)} | {f"rp{i}": F.sum(positive(i)).over(w) for i in fields})
+    counts = ["rn", *[f"rp{i}" for i in fields]]
+    # a block's counts are its last row's, which come out of the same exchange; a row per block carries the earlier ones' on
+    w_carry = Window.partitionBy("by").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = inner.groupBy("by", "block").agg(*[F.max(c).alias(f"b_{c}") for c in counts])
+    carry = carry.select("by", "block", *[F.coalesce(F.sum(f"b_{c}").over(w_carry), F.lit(0)).alias(f"c_{c}") for c in counts])
+    rows = inner.join(carry, ["by", "block"])
+    each = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"v{i}").alias("v"), (F.col(f"rp{i}") + F.col(f"c_rp{i}")).alias("rp")) for i in fields])
+    return rows.select("by", "time", (F.col("rn") + F.col("c_rn")).alias("rn"), F.inline(each)).where("v > 0")
+
+
+def _median(values: Sequence[Column]) -> Column:
+    known = F.array_sort(F.array_compact(F.array(*values)))
+    n = F.size(known)
+    at = lambda k: F.element_at(known, F.greatest(k, F.lit(1)).cast("int"))
+    return (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
+
+
+def details(series: DataFrame) -> DataFrame:
+    """(by, time, field, v, h, d1.., m1.., t1.., stuck) of each positive reading.
+
+    h: the detail of level 0. d<w>: the size of the detail of level w whose w bars begin here. m<w>: the least of their steps in and
+    out, if all lie on one side of both bars beside them, these are less than half as far from each other, and the bars leave
+    the level around (the median of SIDE bars on each side) by at least half the detail; else null. t<k>: the time of the bar k
+    further on. stuck: the reading is part of a run of STUCK or more equal ones on bars in a row, and not its first.
+    """
+    n = F.col("rp")
+    at = lambda k: F.floor((n + k) / CHUNK)
+    df = series.withColumn("chunk", F.explode(F.array_distinct(F.array(at(0), at(OVERLAP), at(-OVERLAP))))).withColumn("core", F.col("chunk") == at(0)).withColumn("x", F.log("v"))
+    w = Window.partitionBy("by", "field", "chunk").orderBy("rp")
+    ahead, back = SIDE + max(WIDTHS) - 1, SIDE
+    moved = {f"x_{k}": (F.lead("x", k) if k > 0 else F.lag("x", -k)).over(w) for k in range(-back, ahead + 1) if k}
+    same = F.coalesce(((F.col("v") == F.lag("v").over(w)) & (F.col("rn") == F.lag("rn").over(w) + 1)).cast("int"), F.lit(0))
+    df = df.withColumns(moved | {"same": same} | {f"t{k}": F.lead("time", k).over(w) for k in range(1, max(WIDTHS))})
+    full = (F.sum("same").over(w.rowsBetween(0, STUCK - 2)) == STUCK - 1).cast("int")
+    df = df.withColumn("full", full).withColumn("stuck", (F.col("same") == 1) & (F.max("full").over(w.rowsBetween(2 - STUCK, 0)) == 1)).where("core")
+    x = lambda k: F.col(f"x_{k}" if k else "x")
+    out = {"h": x(0) - x(-1)}
     for k in WIDTHS:
-        left, right = F.col("before"), xs[k]
-        detail = sum(xs[1:k], xs[0]) / k - (left + right) / 2
-        rise = [c - left for c in xs[:k]]
-        least = F.least(*[F.abs(c) for c in rise], F.lit(float("inf")))
-        one_way = sum([F.signum(c) for c in rise[1:]], F.signum(rise[0])) * F.signum(rise[0]) == k
-        size_k = F.least(F.abs(detail), least, *offs[:k], *[F.abs(c - right) for c in xs[:k]])
-        df = df.withColumn(f"m{k}", F.when(left.isNotNull() & right.isNotNull() & one_way & (F.abs(right - left) < 0.5 * least), size_k))
-    part_of = [F.col(f"m{k}") if j == 0 else F.lag(f"m{k}", j).over(w) for k in WIDTHS for j in range(k)]
-    return df.withColumn("out", F.greatest(*part_of)).where("core").select(by, "field_name", time, "v", "step", "out")
+        left, right, inside = x(-1), x(k), [x(i) for i in range(k)]
+        mean = sum(inside[1:], inside[0]) / k
+        detail = mean - (left + right) / 2
+        out[f"d{k}"] = F.abs(detail)
+        sides = [c - left for c in inside] + [c - right for c in inside]
+        least = F.when(left.isNotNull() & right.isNotNull(), F.least(*[c * F.signum(detail) for c in sides], F.lit(float("inf"))))
+        shaped = (least > 0) & (F.abs(right - left) < 0.5 * F.least(*[F.abs(c - left) for c in inside], F.lit(float("inf"))))
+        around = _median([x(i) for i in range(-back, 0)] + [x(i) for i in range(k, k + SIDE)])
+        # the median is worked out only for bars of that shape
+        out[f"m{k}"] = F.when(F.when(shaped, (mean - around) * F.signum(detail) >= 0.5 * F.abs(detail)).otherwise(False), least)
+    return df.select("by", "time", "field", "v", "stuck", *[f"t{k}" for k in range(1, max(WIDTHS))], *[c.alias(name) for name, c in out.items()])
 
 
 def implausible(bars: DataFrame, by: str = "ticker", time: str = "date", key: str = "bar_id", readings: tuple[Reading, ...] = READINGS) -> DataFrame:
@@ -100,19 +113,24 @@ def implausible(bars: DataFrame, by: str = "ticker", time: str = "date", key: st
     and time) count once in a series and are reported each, if they carry the reading; of differing ones
     the largest value stands for the series. Nulls and NaN are no readings: spikes are sought across them,
     runs end at them. Bars without source or time are only held against the bounds. A source whose median
-    step is 0 or unknown has no habit to leave. The median step is approximate, to a rank error of 1 in 10,000.
+    detail is unknown has no habit to leave. Medians are approximate, to a rank error of 1 in 10,000.
     """
-    flat = F.array(*[F.struct(F.lit(r.field).alias("field_name"), F.col(r.field).cast("double").alias("v")) for r in readings])
-    rows = bars.select(key, by, time, F.inline(flat)).where("v is not null and not isnan(v)")
-    impossible = rows.where("v <= 0").select(key, "field_name", F.lit("impossible").alias("kind"))
-    # tables, as each is read several times
-    series = cut(_series(bars, by, time, readings), "series")
-    details = cut(_details(series, by, time), "details")
-    habit = details.where("step <> 0").groupBy(by, "field_name").agg((1.4826 * F.percentile_approx(F.abs("step"), 0.5, 10_000)).alias("habit"))
-    limit: Column = F.lit(None).cast("double")
-    for r in readings:
-        limit = F.when(F.col("field_name") == r.field, F.greatest(F.lit(r.scale) * F.col("habit"), F.lit(r.least))).otherwise(limit)
-    spikes = details.where("out > 0").join(habit, [by, "field_name"]).where(F.col("out") >= limit).select(by, "field_name", time, "v", F.lit("spike").alias("kind"))
-    odd = spikes.unionByName(_stuck(series, by, time).withColumn("kind", F.lit("stuck"))).where("v > 0")
-    named = rows.where("v > 0").join(odd, [by, "field_name", time, "v"]).select(key, "field_name", "kind")
-    return impossible.unionByName(named).groupBy(key, "field_name").agg(F.min("kind").alias("kind"))
+    named = F.array(*[F.struct(F.lit(i).alias("field"), F.lit(r.field).alias("field_name"), F.col(r.field).cast("double").alias("v")) for i, r in enumerate(readings)])
+    rows = bars.select(F.col(key).alias("key"), F.col(by).alias("by"), F.col(time).alias("time"), F.inline(named)).where("v is not null and not isnan(v)")
+    impossible = rows.where("v <= 0").select("key", "field_name", F.lit("impossible").alias("kind"))
+    # a table, as it is read for the scales and again for the spikes
+    found = cut(details(_series(bars, by, time, readings)), "details")
+    middle = lambda c: (1.4826 * F.percentile_approx(F.when(F.col(c) != 0, F.abs(c)), F.lit(0.5), F.lit(10_000)))
+    scales = found.groupBy("by", "field").agg(middle("h").alias("s0"), *[middle(f"d{k}").alias(f"s{k}") for k in WIDTHS])
+    least: Column = F.lit(0.0)
+    for i, r in enumerate(readings):
+        least = F.when(F.col("field") == i, F.lit(r.least)).otherwise(least)
+    peaks = found.where(" or ".join(f"m{k} is not null" for k in WIDTHS)).join(scales, ["by", "field"])
+    stands = {k: (F.col(f"d{k}") >= F.greatest(DETAIL * F.col(f"s{k}"), least)) & (F.col(f"m{k}") >= STEP * F.col("s0")) for k in WIDTHS}
+    times = [F.when(F.coalesce(stands[k], F.lit(False)), F.array("time", *[f"t{i}" for i in range(1, k)])).otherwise(F.array().cast("array<timestamp_ntz>")) for k in WIDTHS]
+    spikes = peaks.select("by", "field", F.explode(F.array_distinct(F.concat(*times))).alias("time"), F.lit("spike").alias("kind"))
+    odd = spikes.unionByName(found.where("stuck").select("by", "field", "time", F.lit("stuck").alias("kind"))).groupBy("by", "field", "time").agg(F.min("kind").alias("kind"))
+    # of differing copies only those that carry the series' reading
+    reading = found.select("by", "field", "time", "v").join(odd, ["by", "field", "time"])
+    carried = rows.where("v > 0").join(reading, ["by", "field", "time", "v"]).select("key", "field_name", "kind")
+    return impossible.unionByName(carried).groupBy(F.col("key").alias(key), "field_name").agg(F.min("kind").alias("kind"))
