@@ -2,10 +2,15 @@
 
 Level 1 takes windows of 64 characters. Not all of them: of the 64-character windows inside each stretch of
 `span` characters the one with the least hash, so that two texts that share such a stretch take the same
-window from it. Windows that occur in one text only are dropped. Level 2 extends the rest to 128 characters
-(to the right and to the left), level 3 to 256 (at six offsets that between them fit any stretch); only what
-is repeated goes on. What survives is held against the wanted length character by character.
-Copies of one text are one class throughout, so a hot group of copies costs no more than one text.
+window from it. Windows that occur in one text only are dropped, those that are repeated are extended to twice the length, and so
+on (128, 256, ...) while windows survive and the length leaves room in `span`; each is extended at so many offsets that
+one of the longer windows lies in any stretch that the shorter one lies in. The last step goes to `span` itself: a
+surviving window with the characters beside it, its context. Texts with one context share it. Where a
+window has several contexts, the windows of exactly `span` characters in them are hashed, and those that are
+repeated are what is shared. So all is found by equality, without comparing pairs, and a stock passage costs its own texts only.
+
+The texts that share one such key are a group. Of groups with the same members one is kept. Copies of one text are one class
+throughout (by a 128-bit hash), so a hot group of copies costs no more than one text.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.session import cut
@@ -23,6 +28,10 @@ BASE = 64
 #: Characters that are hashed together in one go.
 BATCH_CHARS = 1 << 19
 SECTION = 1 << 20
+#: Bits of the filter that keeps texts without candidates out of the shuffle: 16 for each text that has some, 8 MB at most.
+FILTER_BITS = 1 << 26
+#: A group of more members than this is joined with itself in parts.
+GROUP = 512
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -100,73 +109,103 @@ def _pieces(text: str, span: int) -> Iterator[tuple[int, str]]:
             return
 
 
-def offsets(span: int) -> list[int]:
-    """Characters before the window at which 256-character windows begin: whatever the window's place in a
-    stretch of `span` characters, one of them lies inside the stretch."""
-    slack = span - 4 * BASE
-    return sorted({*range(0, 3 * BASE, slack), 3 * BASE})
+def ladder(span: int) -> list[int]:
+    """The lengths of windows, doubling, that leave room for an eighth of the one before in a stretch of `span` characters."""
+    if span < BASE:
+        raise ValueError(f"span must be at least {BASE} characters")
+    sizes = [BASE]
+    while span - 2 * sizes[-1] >= sizes[-1] // 8:
+        sizes.append(2 * sizes[-1])
+    return sizes
+
+
+def offsets(before: int, size: int, span: int) -> list[int]:
+    """Characters before a window of length `before` at which windows of length `size` begin: whatever the window's place in a
+    stretch of `span` characters, one of them lies inside the stretch and holds it."""
+    return sorted({*range(0, size - before, span - size), size - before}) if span > size else list(range(size - before + 1))
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """(class_id, doc_id, n_chars) of each document; one class for all copies of a text."""
-    return docs.select(F.xxhash64("text", F.length("text")).alias("class_id"), "doc_id", F.length("text").cast("bigint").alias("n_chars"))
+    """(class, text_key, doc_id, n_chars) of each document; one class (128 bits) for all copies of a text. text_key: 64 bits
+    that only say which texts to look into."""
+    return docs.select(F.unhex(F.md5("text")).alias("class"), F.xxhash64("text").alias("text_key"), "doc_id", F.length("text").cast("bigint").alias("n_chars"))
 
 
-def _repeated(windows: DataFrame, key: str) -> DataFrame:
+def _repeated(windows: DataFrame, *key: str, text: str = "text_key") -> DataFrame:
     """The keys that occur in two texts or more; combined before the shuffle."""
-    return windows.groupBy(key).agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select(key)
+    return windows.groupBy(*key).agg(F.min(text).alias("__a"), F.max(text).alias("__b")).where("__a <> __b").select(*key)
 
 
 def _level_two(windows: DataFrame) -> DataFrame:
-    one = windows.join(_repeated(windows, "h64"), "h64", "left_semi").select("class_id", "place", "right", "left")
-    sides = one.select("class_id", "place", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("right").alias("h")), F.struct(F.lit(1).alias("side"), F.col("left").alias("h")))).alias("s"))
-    sides = sides.select("class_id", "place", F.xxhash64("s.side", "s.h").alias("h128"), F.col("s.h").alias("h")).where("h <> 0").drop("h")
-    return sides.join(_repeated(sides, "h128"), "h128", "left_semi").select("class_id", "place").distinct()
+    """(text_key, place) of the windows of 128 characters, begun or ended by repeated ones of 64, that are repeated."""
+    one = windows.join(_repeated(windows, "h64"), "h64", "left_semi").select("text_key", "place", "right", "left")
+    sides = one.select("text_key", F.inline(F.array(F.struct("place", F.col("right").alias("h128")), F.struct((F.col("place") - BASE).alias("place"), F.col("left").alias("h128"))))).where("h128 <> 0")
+    return sides.join(_repeated(sides, "h128"), "h128", "left_semi").select("text_key", "place").distinct()
 
 
-def _wide_windows(span: int):
-    """For each text, its surviving places: (class_id, start, h256, h256b, before, after); before is reversed."""
-    slack = span - 4 * BASE
+def _wider(before: int, size: int, span: int, last: bool):
+    """For each text the windows of `size` characters around its surviving ones: (class, text_key, start, h, g), and for the
+    last level (before, after): the characters beside it up to `span`; before is reversed."""
+    beside, steps = span - size, np.array(offsets(before, size, span))
+    names = ["class", "text_key", "start", "h", "g"] + ["before", "after"] * last
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: dict[str, list] = {c: [] for c in ("class_id", "start", "h256", "h256b", "before", "after")}
-            for class_id, text, places in zip(pdf["class_id"].tolist(), pdf["text"].tolist(), pdf["places"].tolist(), strict=True):
-                p = np.asarray(places, np.int64)
-                begin = np.unique((p[:, None] - np.array(offsets(span))[None, :]).ravel())
-                begin = begin[(begin >= 0) & (begin + 4 * BASE <= len(text))]
+            out: dict[str, list] = {c: [] for c in names}
+            for own, key, text, places in zip(pdf["class"].tolist(), pdf["text_key"].tolist(), pdf["text"].tolist(), pdf["places"].tolist(), strict=True):
+                begin = np.unique((np.asarray(places, np.int64)[:, None] - steps[None, :]).ravel())
+                begin = begin[(begin >= 0) & (begin + size <= len(text))]
                 # in sections, so that a very long text needs no more memory than they do
                 for section in np.unique(begin // SECTION).tolist():
                     low = section * SECTION
-                    mixed = _mix(_codes([text[low : low + SECTION + 4 * BASE]]))
-                    h, g = (_final(_doubled(mixed, 1, b, 4 * BASE)) for b in (_B, _B2))
-                    for s in begin[begin // SECTION == section].tolist():
-                        out["class_id"].append(class_id)
-                        out["start"].append(s)
-                        out["h256"].append(int(h[s - low]))
-                        out["h256b"].append(int(g[s - low]))
-                        out["before"].append(text[max(0, s - slack) : s][::-1])
-                        out["after"].append(text[s + 4 * BASE : s + 4 * BASE + slack])
+                    mixed = _mix(_codes([text[low : low + SECTION + size]]))
+                    h, g = (_final(_doubled(mixed, 1, b, size)) for b in (_B, _B2))
+                    mine = begin[begin // SECTION == section]
+                    out["class"] += [own] * len(mine)
+                    out["text_key"] += [key] * len(mine)
+                    out["start"] += mine.tolist()
+                    out["h"] += h[mine - low].tolist()
+                    out["g"] += g[mine - low].tolist()
+                    if last:
+                        for s in mine.tolist():
+                            out["before"].append(text[max(0, s - beside) : s][::-1])
+                            out["after"].append(text[s + size : s + size + beside])
             yield pd.DataFrame(out)
 
     return run
 
 
-def _common(one: Column, other: Column) -> Column:
-    """How many characters two short texts have in common at their beginning."""
-    n = F.least(F.length(one), F.length(other))
-    agree = F.filter(F.sequence(F.lit(1), n), lambda k: F.substr(one, F.lit(1), k) == F.substr(other, F.lit(1), k))
-    return F.when(n == 0, 0).when(F.substr(one, F.lit(1), n) == F.substr(other, F.lit(1), n), n).otherwise(F.size(agree))
+def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents that may have a wanted text_key: a filter of FILTER_BITS at most, hashed once, is
+    sent to the tasks, so that texts without a candidate (but for its false hits) are read and not shuffled."""
+    n = wanted.count()
+    bits = min(FILTER_BITS, 1 << max(15, (16 * n).bit_length()))
+    position = F.pmod(F.col("text_key"), F.lit(bits)) + 1  # positions and buckets count from 1
+    # buckets of 32,768 bits: 2,048 at most
+    parts = wanted.select(F.bitmap_bucket_number(position).alias("bucket"), F.bitmap_bit_position(position).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
+    table = np.zeros((bits // 32_768, 4096), np.uint8)
+    for r in parts:
+        table[r["bucket"] - 1] = np.frombuffer(bytes(r["map"]), np.uint8)
+    table = table.ravel()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have = shared.value
+        for pdf in batches:
+            at = pdf["text_key"].to_numpy() % bits  # as pmod: never negative
+            hit = (have[at // 8] >> (at % 8).astype(np.uint8)) & 1
+            yield pdf.loc[hit.astype(bool), ["doc_id", "text"]]
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInPandas(keep, "doc_id bigint, text string")
 
 
-def shared_windows(documents: DataFrame, span: int = 300) -> tuple[DataFrame, DataFrame]:
-    """The classes of documents, and verified stretches: (a, b, a_from, a_to, b_from, b_to), a < b classes.
+def shared_groups(documents: DataFrame, span: int = 300) -> tuple[DataFrame, DataFrame]:
+    """The classes of documents, and the groups: (k1, k2, class, start, end), a row per group, text and place.
 
-    Every stretch of at least `span` characters (320 at most, 280 at least, may be asked for) that two
-    different texts share is covered by such stretches, each of which is itself at least `span` long.
+    The texts of a group all have the `span` characters or more between start and end in common, to the letter, and every
+    stretch of at least `span` characters (64 or more) that different texts share is covered by such groups.
     """
-    if not 280 <= span <= 4 * BASE + 127:
-        raise ValueError("span must lie between 280 and 383 characters")
+    sizes = ladder(span)
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     long = docs.where(F.length("text") >= span)
 
@@ -176,10 +215,10 @@ def shared_windows(documents: DataFrame, span: int = 300) -> tuple[DataFrame, Da
 
             def flush():
                 t, place, h, r, l_ = anchors(texts, span)
-                frame = {"class_id": np.array(ids, np.int64)[t], "place": (place + np.array(froms)[t]).astype(np.int32), "h64": h, "right": r, "left": l_}
+                frame = {"text_key": np.array(ids, np.int64)[t], "place": (place + np.array(froms)[t]).astype(np.int32), "h64": h, "right": r, "left": l_}
                 parts.append(pd.DataFrame(frame))
 
-            for i, whole in zip(pdf["class_id"].tolist(), pdf["text"].tolist(), strict=True):
+            for i, whole in zip(pdf["text_key"].tolist(), pdf["text"].tolist(), strict=True):
                 for at, t in _pieces(whole, span):
                     ids.append(i)
                     texts.append(t)
@@ -194,44 +233,82 @@ def shared_windows(documents: DataFrame, span: int = 300) -> tuple[DataFrame, Da
                 yield pd.concat(parts)
 
     classes = cut(_classes(docs), "classes")
-    hashed = long.select(F.xxhash64("text", F.length("text")).alias("class_id"), "text")
-    windows = cut(hashed.mapInPandas(level_one, "class_id bigint, place int, h64 bigint, right bigint, left bigint"), "windows")
-    places = cut(_level_two(windows), "places")
-    wanted = places.groupBy("class_id").agg(F.collect_list("place").alias("places"))  # the places of one text
+    hashed = long.select(F.xxhash64("text").alias("text_key"), "text")
+    windows = cut(hashed.mapInPandas(level_one, "text_key bigint, place int, h64 bigint, right bigint, left bigint"), "windows")
+    # two levels come out of one reading where 128 characters fit on either side
+    done = 2 if span >= 3 * BASE else 1
+    places = _level_two(windows) if done == 2 else windows.join(_repeated(windows, "h64"), "h64", "left_semi").select("text_key", "place").distinct()
+    wanted = cut(places.groupBy("text_key").agg(F.collect_list("place").alias("places")), "places")  # the places of one text
     # of a class one text is read
-    first = classes.groupBy("class_id").agg(F.min("doc_id").alias("doc_id"))
-    texts = long.join(first.join(wanted, "class_id"), "doc_id").select("class_id", "text", "places")
-    wide = cut(texts.mapInPandas(_wide_windows(span), "class_id bigint, start int, h256 bigint, h256b bigint, before string, after string"), "wide")
-    again = wide.join(wide.groupBy("h256", "h256b").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x <> y").select("h256", "h256b"), ["h256", "h256b"], "left_semi")
-    a = again.select("h256", "h256b", F.col("class_id").alias("a"), F.col("start").alias("sa"), F.col("before").alias("ba"), F.col("after").alias("aa"))
-    b = again.select("h256", "h256b", F.col("class_id").alias("b"), F.col("start").alias("sb"), F.col("before").alias("bb"), F.col("after").alias("ab"))
-    pairs = a.join(b, ["h256", "h256b"]).where("a < b")
-    pairs = pairs.withColumns({"l": _common(F.col("ba"), F.col("bb")), "r": _common(F.col("aa"), F.col("ab"))})
-    width = 4 * BASE
-    pairs = pairs.where(F.col("l") + F.col("r") + width >= span)
-    ends = [(F.col(s) - F.col("l")).alias(f"{n}_from") if k == 0 else (F.col(s) + width + F.col("r")).alias(f"{n}_to") for n, s in (("a", "sa"), ("b", "sb")) for k in (0, 1)]
-    return classes, pairs.select("a", "b", *ends)
+    first = classes.join(wanted.select("text_key"), "text_key", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"))
+    texts, size = _candidate_texts(long, wanted.select("text_key")), sizes[done - 1]
+    levels = sizes[min(done, len(sizes) - 1) :]
+    if len(levels) > 1:
+        texts = cut(texts.join(first, "doc_id"), "texts")
+    for longer in levels:
+        last = longer == sizes[-1]
+        there = texts.join(wanted, "text_key") if len(levels) > 1 else texts.join(first.join(wanted, "text_key"), "doc_id")
+        schema = "class binary, text_key bigint, start int, h bigint, g bigint" + ", before string, after string" * last
+        wide = cut(there.select("class", "text_key", "text", "places").mapInPandas(_wider(size, longer, span, last), schema), f"windows_{longer}")
+        kept, size = wide.join(_repeated(wide, "h", "g"), ["h", "g"], "left_semi"), longer
+        if not last:
+            wanted = cut(kept.select("text_key", F.col("start").alias("place")).distinct().groupBy("text_key").agg(F.collect_list("place").alias("places")), "places")
+    return classes, _by_context(kept, sizes[-1], span)
+
+
+def _by_context(windows: DataFrame, size: int, span: int) -> DataFrame:
+    """(k1, k2, class, start, end) from repeated windows and what stands beside them."""
+    beside = span - size
+    key = lambda *c: (F.xxhash64(F.lit(1), *c).alias("k1"), F.xxhash64(*c, F.lit(2)).alias("k2"))
+    context = F.xxhash64("before", F.lit(0), "after").alias("c1"), F.xxhash64(F.lit(3), "after", "before").alias("c2")
+    rows = windows.select("h", "g", *context, "class", "text_key", "start", F.length("before").alias("l"), F.length("after").alias("r"), "before", "after")
+    # the contexts of a window, once each
+    each = rows.groupBy("h", "g", "c1", "c2").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.first("before").alias("before"), F.first("after").alias("after"))
+    whole = each.where((F.col("a") != F.col("b")) & (F.length("before") + F.length("after") >= beside)).select("h", "g", "c1", "c2")
+    full = rows.join(whole, ["h", "g", "c1", "c2"], "left_semi").select(*key("h", "g", "c1", "c2"), "class", (F.col("start") - F.col("l")).alias("start"), (F.col("start") + size + F.col("r")).alias("end"))
+    # where there are several, the windows of `span` characters in them: j of these before the window
+    several = each.groupBy("h", "g").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x <> y").select("h", "g")
+    lowest, most = F.greatest(F.lit(0), beside - F.length("after")), F.least(F.lit(beside), F.length("before"))
+    steps = F.when(lowest <= most, F.sequence(lowest, most)).otherwise(F.array().cast("array<int>"))
+    parts = each.join(several, ["h", "g"], "left_semi").select("h", "g", "c1", "c2", "before", "after", F.explode(steps).alias("j"))
+    parts = parts.select("h", "g", "c1", "c2", "j", *key("h", "g", "j", F.expr("substring(before, 1, j)"), F.expr(f"substring(after, 1, {beside} - j)")))
+    again = parts.groupBy("k1", "k2").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x <> y").select("k1", "k2")
+    exact = rows.select("h", "g", "c1", "c2", "class", "text_key", "start").join(parts.join(again, ["k1", "k2"], "left_semi"), ["h", "g", "c1", "c2"])
+    exact = exact.join(_repeated(exact, "k1", "k2"), ["k1", "k2"], "left_semi")  # not twice in one text alone
+    return full.unionByName(exact.select("k1", "k2", "class", (F.col("start") - F.col("j")).alias("start"), (F.col("start") - F.col("j") + span).alias("end")))
+
+
+def _distinct_groups(groups: DataFrame) -> DataFrame:
+    """(k1, k2, n, class): of the groups with the same members one, with each member once."""
+    members = groups.select("k1", "k2", "class").distinct()
+    # the set's fingerprint: its size and two sums (without carry) of independent hashes
+    sets = members.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "class")).alias("t")).where("n > 1")
+    kept = sets.groupBy("n", "s", "t").agg(F.min("k1").alias("k1"), F.min_by("k2", "k1").alias("k2")).select("k1", "k2", "n")
+    return members.join(kept, ["k1", "k2"])
+
+
+def _pairs(members: DataFrame, by: list[str], id_col: str) -> DataFrame:
+    """(a, b), a < b, of the members of each group (n: how many it has); groups of many members are shared out."""
+    parts = F.ceil(F.col("n") / GROUP).cast("int")
+    x = members.select(*by, F.col(id_col).alias("a"), F.pmod(F.xxhash64(id_col), parts).cast("int").alias("part"))
+    y = members.select(*by, F.col(id_col).alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return x.join(y, [*by, "part"]).where("a < b").select("a", "b")
 
 
 def shared_pairs(documents: DataFrame, span: int = 300) -> DataFrame:
     """(doc_id, other_doc_id), doc_id the smaller: documents whose texts have `span` characters in a row in
     common, to the letter, each pair once, copies of a text included.
 
-    Null texts and texts of under `span` characters share nothing; ids should be unique.
+    Null texts and texts of under `span` characters share nothing; ids should be unique. The number of pairs grows with the
+    square of the texts that have one passage in common: shared_share has a row per document instead.
     """
-    classes, stretches = shared_windows(documents, span)
-    classes = classes.where(F.col("n_chars") >= span)
-    links = cut(stretches.select("a", "b").distinct(), "links")
-    members = classes.select(F.col("class_id").alias("a"), F.col("doc_id").alias("x"))
-    others = classes.select(F.col("class_id").alias("b"), F.col("doc_id").alias("y"))
-    across = links.join(members, "a").join(others, "b").select("x", "y")
-    # the copies of a text with each other, by parts of the class
-    parts = 16
-    several = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
-    copies = classes.join(several, "class_id").select("class_id", "doc_id")
-    x = copies.select("class_id", F.col("doc_id").alias("x"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"))
-    y = copies.select("class_id", F.col("doc_id").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
-    within = x.join(y, ["class_id", "part"]).where("x < y").select("x", "y")
+    classes, groups = shared_groups(documents, span)
+    classes = classes.where(F.col("n_chars") >= span).select("class", "doc_id")
+    links = _pairs(_distinct_groups(groups), ["k1", "k2"], "class").distinct()
+    across = links.join(classes.select(F.col("class").alias("a"), F.col("doc_id").alias("x")), "a").join(classes.select(F.col("class").alias("b"), F.col("doc_id").alias("y")), "b").select("x", "y")
+    # the copies of a text with each other
+    several = classes.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    within = _pairs(classes.join(several, "class"), ["class"], "doc_id").select(F.col("a").alias("x"), F.col("b").alias("y"))
     return across.unionByName(within).select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("other_doc_id"))
 
 
@@ -242,20 +319,16 @@ def shared_share(documents: DataFrame, span: int = 300) -> DataFrame:
     share a stretch with it; shared_chars: characters that lie in a stretch of `span` characters or more that
     another document has, to the letter. Documents without id or text have no row.
     """
-    classes, stretches = shared_windows(documents, span)
-    stretches = cut(stretches, "stretches")
-    sides = stretches.select(F.explode(F.array(
-        F.struct(F.col("a").alias("class_id"), F.col("b").alias("other"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi")),
-        F.struct(F.col("b").alias("class_id"), F.col("a").alias("other"), F.col("b_from").alias("lo"), F.col("b_to").alias("hi")),
-    )).alias("s")).select("s.*")
-    links = sides.select("class_id", "other").distinct().groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    classes, groups = shared_groups(documents, span)
+    groups = cut(groups, "groups")
+    pairs = _pairs(_distinct_groups(groups), ["k1", "k2"], "class").distinct()
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     # stretches of one text, each beginning once with its farthest end: at most as many as the text has characters
-    ends = sides.groupBy("class_id", "lo").agg(F.max("hi").alias("hi"))
-    w = F.expr("max(hi) OVER (PARTITION BY class_id ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
-    covered = ends.withColumn("seen", w).groupBy("class_id").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", F.coalesce("seen", F.lit(0))))).alias("part"))
-    group = classes.groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
-    per_class = group.join(links, "class_id", "left").join(covered, "class_id", "left")
-    out = classes.join(per_class, "class_id")
+    ends = groups.groupBy("class", "start").agg(F.max("end").alias("end"))
+    w = Window.partitionBy("class").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    covered = ends.withColumn("seen", F.max("end").over(w)).groupBy("class").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("seen", F.lit(0))))).alias("part"))
+    group = classes.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
+    out = classes.join(group.join(links, "class", "left").join(covered, "class", "left"), "class")
     whole = (F.col("n_copies") > 1) & (F.col("n_chars") >= span)
     chars = F.when(whole, F.col("n_chars")).otherwise(F.coalesce("part", F.lit(0))).cast("bigint")
     return out.select("doc_id", F.col("first_id").alias("class_id"), "n_chars", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), chars.alias("shared_chars"), F.when(F.col("n_chars") > 0, chars / F.col("n_chars")).otherwise(0.0).alias("shared_share"))

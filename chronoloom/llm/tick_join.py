@@ -38,10 +38,10 @@ def nearest_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time
 
     At most tolerance_us away, both ends included; at equal distance the earlier, then the smaller id.
     Rows with a null entity, time or id match nothing; left rows without a match give no row; ids should be
-    unique (with `keep`, columns of the left, unique together with them). tick_us: a third of the tolerance, or what is
+    unique (with `keep`, columns of the left, unique together with them). tick_us: the tolerance, or what is
     given. Per (entity, tick) only the first and last right time are expanded, so a hot tick costs no more than a quiet one.
     """
-    tick_us = tick_us or max(1, tolerance_us // 3)
+    tick_us = tick_us or max(1, tolerance_us)
     reach = -(-tolerance_us // tick_us)
     tick = F.floor(F.col("t") / tick_us)
     names, kept = list(by), list(keep)

@@ -66,12 +66,32 @@ def test_anchor_in_every_stretch():
     assert alone == [place[t == i].tolist() for i in range(len(texts))]
 
 
-def test_wide_windows_fit_every_stretch():
-    for span in (280, 300, 320):
-        for at in range(span - 64 + 1):  # the window's place in the stretch
-            assert any(0 <= at - o and at - o + 256 <= span for o in spans.offsets(span)), (span, at)
+def test_wider_windows_fit_every_stretch():
+    for span in (64, 100, 136, 192, 256, 264, 280, 300, 320, 511, 700, 5000):
+        sizes = spans.ladder(span)
+        assert sizes[0] == 64 and sizes[-1] <= span
+        for before, size in zip(sizes, sizes[1:], strict=False):
+            steps = spans.offsets(before, size, span)
+            for at in range(0, span - before + 1):  # the shorter window's place in the stretch
+                assert any(0 <= at - o and at - o + size <= span and at - o + size >= at + before for o in steps), (span, size, at)
     with pytest.raises(ValueError, match="span"):
-        spans.shared_windows(None, 100)
+        spans.shared_groups(None, 63)
+
+
+@pytest.mark.parametrize("span", [64, 150, 400, 900])
+def test_other_spans_are_brute_force(spark, docs, span):
+    got = [tuple(r) for r in spans.shared_pairs(docs_df(spark, docs), span).collect()]
+    want = {(i, j) for i, a in docs for j, b in docs if i < j and a and b and lcs(a, b, span)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_large_groups_are_shared_out(spark, monkeypatch):
+    stock = noise(280)
+    docs = [(i, noise(60) + stock + noise(60)) for i in range(40)] + [(100 + i, noise(20) + stock + "the same behind it in some of them") for i in range(9)]
+    want = {(i, j) for i, a in docs for j, b in docs if i < j and lcs(a, b, 300)}
+    monkeypatch.setattr(spans, "GROUP", 4)
+    got = [tuple(r) for r in spans.shared_pairs(docs_df(spark, docs)).collect()]
+    assert set(got) == want and len(got) == len(want) == 36
 
 
 def test_pieces_cover_long_texts():
