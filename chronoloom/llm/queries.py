@@ -97,6 +97,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks of 13 words in which up to two bytes are edited."""
+    return leakage.leaked_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=2)
+
+
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
     """Per test item, in how many documents it leaked."""
     return p9_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
@@ -130,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
+    "p9_near": p9_near,
     "p9_items": p9_items,
     "p10_found": p10_found,
     "p10_shared_share": p10_shared_share,

@@ -61,3 +61,42 @@ def test_edits(spark, edits):
     hurt = ITEM.replace("delta", "dleta"[: 5 - (edits == 1)] if edits == 2 else "delto")
     far = ITEM.replace("a", "o")
     assert pairs(spark, [(1, hurt), (2, far), (3, "nothing of it")], [(1, ITEM)], edits=edits) == [(1, 1)]
+
+
+def edits_between(p, t, most):
+    """Edit distance of p to its nearest stretch of t, plainly."""
+    row = [0] * (len(t) + 1)
+    for y, c in enumerate(p, 1):
+        diag, row[0] = row[0], y
+        for x in range(1, len(t) + 1):
+            diag, row[x] = row[x], min(diag + (t[x - 1] != c), row[x] + 1, row[x - 1] + 1)
+    return min(row) <= most
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+@pytest.mark.parametrize("hits", [1 << 21, 40])
+def test_near_is_brute_force(spark, monkeypatch, edits, hits):
+    monkeypatch.setattr(leakage, "HITS", hits)
+    rnd = random.Random(edits)
+    vocab = ["market", "quarter", "growth", "revenue", "outlook", "supply", "profit", "margin", "guidance", "capital"]
+    items = [(i, " ".join(rnd.choices(vocab, k=rnd.randint(13, 16)))) for i in range(8)]
+    docs = []
+    for d in range(60):
+        text = list(items[d % 8][1])
+        for _ in range(rnd.randint(0, edits + 2)):
+            at = rnd.randrange(len(text))
+            text[at : at + rnd.randint(0, 1)] = rnd.choice(["", "q", "x"])
+        docs.append((d, " ".join(rnd.choices(vocab, k=rnd.randint(0, 9))) + " " + "".join(text) + " " + " ".join(rnd.choices(vocab, k=3))))
+    want = set()
+    for d, t in docs:
+        for i, s in items:
+            w = s.split()
+            ps = [f" {' '.join(w[k : k + 13])} ".encode() for k in range(len(w) - 12)]
+            if any(edits_between(p, leakage.plain(t), edits) for p in ps):
+                want.add((d, i))
+    assert set(pairs(spark, docs, items, edits=edits)) == want and len(want) > 20
+
+
+def test_too_many_edits_for_a_passage(spark):
+    with pytest.raises(ValueError, match="edits"):
+        pairs(spark, [(1, "x")], [(1, "a b c d e f g h i j k l m")], edits=2)
