@@ -13,7 +13,6 @@ source has to fit into one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,45 +63,56 @@ def _series(bars: DataFrame, by: str, time: str, readings: tuple[Reading, ...])
     return rows.select("by", "time", (F.col("rn") + F.col("c_rn")).alias("rn"), F.inline(each)).where("v > 0")
 
 
-def _median(values: Sequence[Column]) -> Column:
-    known = F.array_sort(F.array_compact(F.array(*values)))
-    n = F.size(known)
-    at = lambda k: F.element_at(known, F.greatest(k, F.lit(1)).cast("int"))
-    return (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
-
-
 def details(series: DataFrame) -> DataFrame:
-    """(by, time, field, v, h, d1.., m1.., t1.., stuck) of each positive reading.
+    """(by, time, field, v, rp, h, d1.., m1.., stuck) of each positive reading.
 
     h: the detail of level 0. d<w>: the size of the detail of level w whose w bars begin here. m<w>: the least of their steps in and
-    out, if all lie on one side of both bars beside them, these are less than half as far from each other, and the bars leave
-    the level around (the median of SIDE bars on each side) by at least half the detail; else null. t<k>: the time of the bar k
-    further on. stuck: the reading is part of a run of STUCK or more equal ones on bars in a row, and not its first.
+    out, if all lie on one side of both bars beside them and these are less than half as far from each other; else null.
+    stuck: the reading is part of a run of STUCK or more equal ones on bars in a row, and not its first.
     """
     n = F.col("rp")
     at = lambda k: F.floor((n + k) / CHUNK)
     df = series.withColumn("chunk", F.explode(F.array_distinct(F.array(at(0), at(OVERLAP), at(-OVERLAP))))).withColumn("core", F.col("chunk") == at(0)).withColumn("x", F.log("v"))
     w = Window.partitionBy("by", "field", "chunk").orderBy("rp")
-    ahead, back = SIDE + max(WIDTHS) - 1, SIDE
-    moved = {f"x_{k}": (F.lead("x", k) if k > 0 else F.lag("x", -k)).over(w) for k in range(-back, ahead + 1) if k}
-    same = F.coalesce(((F.col("v") == F.lag("v").over(w)) & (F.col("rn") == F.lag("rn").over(w) + 1)).cast("int"), F.lit(0))
-    df = df.withColumns(moved | {"same": same} | {f"t{k}": F.lead("time", k).over(w) for k in range(1, max(WIDTHS))})
-    full = (F.sum("same").over(w.rowsBetween(0, STUCK - 2)) == STUCK - 1).cast("int")
-    df = df.withColumn("full", full).withColumn("stuck", (F.col("same") == 1) & (F.max("full").over(w.rowsBetween(2 - STUCK, 0)) == 1)).where("core")
+    df = df.withColumns({"x_-1": F.lag("x").over(w), "rn_before": F.lag("rn").over(w)} | {f"x_{k}": F.lead("x", k).over(w) for k in range(1, max(WIDTHS) + 1)})
     x = lambda k: F.col(f"x_{k}" if k else "x")
-    out = {"h": x(0) - x(-1)}
+    df = df.withColumn("h", x(0) - x(-1)).withColumn("same", F.when((F.col("h") == 0) & (F.col("rn") == F.col("rn_before") + 1), 1).otherwise(0))
+    df = df.withColumn("full", F.sum("same").over(w.rowsBetween(0, STUCK - 2)))
+    df = df.withColumn("stuck", (F.col("same") == 1) & (F.max("full").over(w.rowsBetween(2 - STUCK, 0)) == STUCK - 1)).where("core")
+    out = {}
     for k in WIDTHS:
         left, right, inside = x(-1), x(k), [x(i) for i in range(k)]
-        mean = sum(inside[1:], inside[0]) / k
-        detail = mean - (left + right) / 2
+        detail = sum(inside[1:], inside[0]) / k - (left + right) / 2
         out[f"d{k}"] = F.abs(detail)
-        sides = [c - left for c in inside] + [c - right for c in inside]
-        least = F.when(left.isNotNull() & right.isNotNull(), F.least(*[c * F.signum(detail) for c in sides], F.lit(float("inf"))))
+        ways = F.signum(detail)
+        least = F.least(*[(c - beside) * ways for c in inside for beside in (left, right)])
         shaped = (least > 0) & (F.abs(right - left) < 0.5 * F.least(*[F.abs(c - left) for c in inside], F.lit(float("inf"))))
-        around = _median([x(i) for i in range(-back, 0)] + [x(i) for i in range(k, k + SIDE)])
-        # the median is worked out only for bars of that shape
-        out[f"m{k}"] = F.when(F.when(shaped, (mean - around) * F.signum(detail) >= 0.5 * F.abs(detail)).otherwise(False), least)
-    return df.select("by", "time", "field", "v", "stuck", *[f"t{k}" for k in range(1, max(WIDTHS))], *[c.alias(name) for name, c in out.items()])
+        out[f"m{k}"] = F.when(left.isNotNull() & right.isNotNull() & shaped, least)
+    return df.select("by", "time", "field", "v", "rp", "h", "stuck", *[c.alias(name) for name, c in out.items()])
+
+
+def _spikes(found: DataFrame, readings: tuple[Reading, ...]) -> DataFrame:
+    """(by, field, time, v) of the bars of spikes."""
+    middle = lambda c: (1.4826 * F.percentile_approx(F.when(F.col(c) != 0, F.abs(c)), F.lit(0.5), F.lit(1_000)))
+    scales = found.groupBy("by", "field").agg(middle("h").alias("s0"), *[middle(f"d{k}").alias(f"s{k}") for k in WIDTHS])
+    least: Column = F.lit(0.0)
+    for i, r in enumerate(readings):
+        least = F.when(F.col("field") == i, F.lit(r.least)).otherwise(least)
+    peaks = found.where(" or ".join(f"m{k} is not null" for k in WIDTHS)).join(scales, ["by", "field"])
+    stands = {k: (F.col(f"d{k}") >= F.greatest(DETAIL * F.col(f"s{k}"), least)) & (F.col(f"m{k}") >= STEP * F.col("s0")) for k in WIDTHS}
+    peaks = peaks.select("by", "field", F.col("rp").alias("first"), F.explode(F.array_compact(F.array(*[F.when(stands[k], k) for k in WIDTHS]))).alias("width"))
+    # a quiet stretch between two spikes looks like a spike the other way: what holds is the one that leaves the level around it, the
+    # median of the bars beside. Only the few bars around a peak are fetched
+    near = peaks.withColumn("rp", F.explode(F.sequence(F.col("first") - SIDE, F.col("first") + F.col("width") + SIDE - 1)))
+    near = near.join(found.select("by", "field", "rp", "time", "v"), ["by", "field", "rp"]).withColumn("inside", F.col("rp").between(F.col("first"), F.col("first") + F.col("width") - 1))
+    beside = (F.col("rp") == F.col("first") - 1) | (F.col("rp") == F.col("first") + F.col("width"))
+    x = F.log("v")
+    whole = near.groupBy("by", "field", "first", "width").agg(
+        F.median(F.when(~F.col("inside"), x)).alias("around"), F.avg(F.when(F.col("inside"), x)).alias("mean"), F.avg(F.when(beside, x)).alias("beside"),
+        F.collect_list(F.when(F.col("inside"), F.struct("time", "v"))).alias("bars"),  # as many as the spike is wide
+    )
+    held = whole.where((F.col("mean") - F.col("around")) * F.signum(F.col("mean") - F.col("beside")) >= 0.5 * F.abs(F.col("mean") - F.col("beside")))
+    return held.select("by", "field", F.inline("bars"))
 
 
 def implausible(bars: DataFrame, by: str = "ticker", time: str = "date", key: str = "bar_id", readings: tuple[Reading, ...] = READINGS) -> DataFrame:
@@ -113,24 +123,15 @@ def implausible(bars: DataFrame, by: str = "ticker", time: str = "date", key: st
     and time) count once in a series and are reported each, if they carry the reading; of differing ones
     the largest value stands for the series. Nulls and NaN are no readings: spikes are sought across them,
     runs end at them. Bars without source or time are only held against the bounds. A source whose median
-    detail is unknown has no habit to leave. Medians are approximate, to a rank error of 1 in 10,000.
+    detail is unknown has no habit to leave. Medians are approximate, to a rank error of 1 in 1,000.
     """
     named = F.array(*[F.struct(F.lit(i).alias("field"), F.lit(r.field).alias("field_name"), F.col(r.field).cast("double").alias("v")) for i, r in enumerate(readings)])
     rows = bars.select(F.col(key).alias("key"), F.col(by).alias("by"), F.col(time).alias("time"), F.inline(named)).where("v is not null and not isnan(v)")
     impossible = rows.where("v <= 0").select("key", "field_name", F.lit("impossible").alias("kind"))
-    # a table, as it is read for the scales and again for the spikes
+    # a table, as it is read for the scales, for the spikes and for the bars around them
     found = cut(details(_series(bars, by, time, readings)), "details")
-    middle = lambda c: (1.4826 * F.percentile_approx(F.when(F.col(c) != 0, F.abs(c)), F.lit(0.5), F.lit(10_000)))
-    scales = found.groupBy("by", "field").agg(middle("h").alias("s0"), *[middle(f"d{k}").alias(f"s{k}") for k in WIDTHS])
-    least: Column = F.lit(0.0)
-    for i, r in enumerate(readings):
-        least = F.when(F.col("field") == i, F.lit(r.least)).otherwise(least)
-    peaks = found.where(" or ".join(f"m{k} is not null" for k in WIDTHS)).join(scales, ["by", "field"])
-    stands = {k: (F.col(f"d{k}") >= F.greatest(DETAIL * F.col(f"s{k}"), least)) & (F.col(f"m{k}") >= STEP * F.col("s0")) for k in WIDTHS}
-    times = [F.when(F.coalesce(stands[k], F.lit(False)), F.array("time", *[f"t{i}" for i in range(1, k)])).otherwise(F.array().cast("array<timestamp_ntz>")) for k in WIDTHS]
-    spikes = peaks.select("by", "field", F.explode(F.array_distinct(F.concat(*times))).alias("time"), F.lit("spike").alias("kind"))
-    odd = spikes.unionByName(found.where("stuck").select("by", "field", "time", F.lit("stuck").alias("kind"))).groupBy("by", "field", "time").agg(F.min("kind").alias("kind"))
+    spikes = _spikes(found, readings).withColumn("kind", F.lit("spike"))
+    odd = spikes.unionByName(found.where("stuck").select("by", "field", "time", "v", F.lit("stuck").alias("kind"))).groupBy("by", "field", "time", "v").agg(F.min("kind").alias("kind"))
     # of differing copies only those that carry the series' reading
-    reading = found.select("by", "field", "time", "v").join(odd, ["by", "field", "time"])
-    carried = rows.where("v > 0").join(reading, ["by", "field", "time", "v"]).select("key", "field_name", "kind")
+    carried = rows.where("v > 0").join(odd, ["by", "field", "time", "v"]).select("key", "field_name", "kind")
     return impossible.unionByName(carried).groupBy(F.col("key").alias(key), "field_name").agg(F.min("kind").alias("kind"))
