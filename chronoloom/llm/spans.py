@@ -202,8 +202,8 @@ def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def shared_groups(documents: DataFrame, span: int = 300) -> tuple[DataFrame, DataFrame]:
     """The classes of documents, and the groups: (k1, k2, class, start, end), a row per group, text and place.
 
-    The texts of a group all have the `span` characters or more between start and end in common, to the letter, and every
-    stretch of at least `span` characters (64 or more) that different texts share is covered by such groups.
+    The texts of a group all have the `span` characters or more between start and end in common, to the letter (a group may be
+    of one text that holds them twice), and every stretch of at least `span` characters (64 or more) that different texts share is covered by such groups.
     """
     sizes = ladder(span)
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
@@ -253,7 +253,7 @@ def shared_groups(documents: DataFrame, span: int = 300) -> tuple[DataFrame, Dat
         kept, size = wide.join(_repeated(wide, "h", "g"), ["h", "g"], "left_semi"), longer
         if not last:
             wanted = cut(kept.select("text_key", F.col("start").alias("place")).distinct().groupBy("text_key").agg(F.collect_list("place").alias("places")), "places")
-    return classes, _by_context(kept, sizes[-1], span)
+    return classes, cut(_by_context(kept, sizes[-1], span), "groups")
 
 
 def _by_context(windows: DataFrame, size: int, span: int) -> DataFrame:
@@ -262,6 +262,7 @@ def _by_context(windows: DataFrame, size: int, span: int) -> DataFrame:
     key = lambda *c: (F.xxhash64(F.lit(1), *c).alias("k1"), F.xxhash64(*c, F.lit(2)).alias("k2"))
     context = F.xxhash64("before", F.lit(0), "after").alias("c1"), F.xxhash64(F.lit(3), "after", "before").alias("c2")
     rows = windows.select("h", "g", *context, "class", "text_key", "start", F.length("before").alias("l"), F.length("after").alias("r"), "before", "after")
+    rows = cut(rows, "contexts")  # as it is read for each of the steps below
     # the contexts of a window, once each
     each = rows.groupBy("h", "g", "c1", "c2").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.first("before").alias("before"), F.first("after").alias("after"))
     whole = each.where((F.col("a") != F.col("b")) & (F.length("before") + F.length("after") >= beside)).select("h", "g", "c1", "c2")
@@ -271,20 +272,23 @@ def _by_context(windows: DataFrame, size: int, span: int) -> DataFrame:
     lowest, most = F.greatest(F.lit(0), beside - F.length("after")), F.least(F.lit(beside), F.length("before"))
     steps = F.when(lowest <= most, F.sequence(lowest, most)).otherwise(F.array().cast("array<int>"))
     parts = each.join(several, ["h", "g"], "left_semi").select("h", "g", "c1", "c2", "before", "after", F.explode(steps).alias("j"))
-    parts = parts.select("h", "g", "c1", "c2", "j", *key("h", "g", "j", F.expr("substring(before, 1, j)"), F.expr(f"substring(after, 1, {beside} - j)")))
+    parts = cut(parts.select("h", "g", "c1", "c2", "j", *key("h", "g", "j", F.expr("substring(before, 1, j)"), F.expr(f"substring(after, 1, {beside} - j)"))), "parts")
     again = parts.groupBy("k1", "k2").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x <> y").select("k1", "k2")
-    exact = rows.select("h", "g", "c1", "c2", "class", "text_key", "start").join(parts.join(again, ["k1", "k2"], "left_semi"), ["h", "g", "c1", "c2"])
-    exact = exact.join(_repeated(exact, "k1", "k2"), ["k1", "k2"], "left_semi")  # not twice in one text alone
+    exact = rows.select("h", "g", "c1", "c2", "class", "start").join(parts.join(again, ["k1", "k2"], "left_semi"), ["h", "g", "c1", "c2"])
     return full.unionByName(exact.select("k1", "k2", "class", (F.col("start") - F.col("j")).alias("start"), (F.col("start") - F.col("j") + span).alias("end")))
 
 
-def _distinct_groups(groups: DataFrame) -> DataFrame:
-    """(k1, k2, n, class): of the groups with the same members one, with each member once."""
-    members = groups.select("k1", "k2", "class").distinct()
+def _members(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2, class), each member of a group once, and (k1, k2, n, s, t) of the groups of several: their size and fingerprint."""
+    members = cut(groups.select("k1", "k2", "class").distinct(), "members")
     # the set's fingerprint: its size and two sums (without carry) of independent hashes
-    sets = members.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "class")).alias("t")).where("n > 1")
+    return members, members.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "class")).alias("t")).where("n > 1")
+
+
+def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), a < b: the classes that share a group. Of the groups with the same members one is looked at."""
     kept = sets.groupBy("n", "s", "t").agg(F.min("k1").alias("k1"), F.min_by("k2", "k1").alias("k2")).select("k1", "k2", "n")
-    return members.join(kept, ["k1", "k2"])
+    return _pairs(cut(members.join(kept, ["k1", "k2"]), "kept"), ["k1", "k2"], "class").distinct()
 
 
 def _pairs(members: DataFrame, by: list[str], id_col: str) -> DataFrame:
@@ -304,7 +308,7 @@ def shared_pairs(documents: DataFrame, span: int = 300) -> DataFrame:
     """
     classes, groups = shared_groups(documents, span)
     classes = classes.where(F.col("n_chars") >= span).select("class", "doc_id")
-    links = _pairs(_distinct_groups(groups), ["k1", "k2"], "class").distinct()
+    links = _links(*_members(groups))
     across = links.join(classes.select(F.col("class").alias("a"), F.col("doc_id").alias("x")), "a").join(classes.select(F.col("class").alias("b"), F.col("doc_id").alias("y")), "b").select("x", "y")
     # the copies of a text with each other
     several = classes.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -320,9 +324,9 @@ def shared_share(documents: DataFrame, span: int = 300) -> DataFrame:
     another document has, to the letter. Documents without id or text have no row.
     """
     classes, groups = shared_groups(documents, span)
-    groups = cut(groups, "groups")
-    pairs = _pairs(_distinct_groups(groups), ["k1", "k2"], "class").distinct()
-    links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    members, sets = _members(groups)
+    groups = groups.join(sets.select("k1", "k2"), ["k1", "k2"], "left_semi")
+    links = _links(members, sets).select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     # stretches of one text, each beginning once with its farthest end: at most as many as the text has characters
     ends = groups.groupBy("class", "start").agg(F.max("end").alias("end"))
     w = Window.partitionBy("class").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
