@@ -2,34 +2,37 @@
 
 from __future__ import annotations
 
+import html as entities
+import re
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Elements whose content isn't shown, elements that begin a line, and the section markers.
-HIDDEN = frozenset({"script", "style", "noscript"})
-BREAKING = frozenset({"p", "div", "br", "li", "h1", "h2", "h3", "section"})
+HIDDEN = ("script", "style", "noscript")
+BREAKING = ("p", "div", "br", "li", "h1", "h2", "h3", "section")
 START_MARKERS = ("Earnings Call Transcript", "Full Conference Call Transcript", "Prepared Remarks")
 END_MARKERS = ("Premium Investing Services", "Stocks Mentioned", "This article is a transcript")
-# Names of the three classes.
-LABELS = {"positive": "pos", "negative": "neg", "neutral": "neu", "pos": "pos", "neg": "neg", "neu": "neu"}
+#: White space of any script, as a character class that both regex engines read alike.
+SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 LEAST_WORDS = 4
+#: Stands for the end of a sentence while a text is cut.
+_END = "\u0001"
 
 
 def sentences(text: Column) -> Column:
     """The sentences of a text that have four words or more, white space collapsed; null for null.
 
-    Single line ends are spaces. A sentence ends after . ! or ?, before a capital or where lines end twice.
+    A sentence ends behind . ! or ?: where a blank line follows at once, or where a capital follows after white
+    space. Other line ends are white space.
     """
-    t = F.regexp_replace(text, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"(?<!\n)\n(?!\n)", " ")
-    t = F.regexp_replace(t, r"\n{2,}", "\n")
-    parts = F.split(t, r"(?U)(?<=[.!?])(?:\s+(?=[A-Z])|\n+)")
-    tidy = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"(?U)\s+", " ")))
-    return F.filter(tidy, lambda p: F.size(F.split(p, " ")) >= LEAST_WORDS)
+    t = F.regexp_replace(F.replace(text, F.lit(_END), F.lit(" ")), r"\r\n?", "\n")
+    t = F.regexp_replace(t, r"([.!?])\n\n+", f"$1{_END}")
+    t = F.regexp_replace(t, rf"{SPACE}+", " ")
+    t = F.regexp_replace(t, r"([.!?]) ([A-Z])", f"$1{_END}$2")
+    return F.filter(F.transform(F.split(t, _END), lambda p: F.trim(p)), lambda p: F.size(F.split(p, " ")) >= LEAST_WORDS)
 
 
 def trimmed(text: Column, starts: tuple[str, ...] = START_MARKERS, ends: tuple[str, ...] = END_MARKERS) -> Column:
@@ -45,36 +48,19 @@ def missing_markers(text: Column, markers: tuple[str, ...]) -> Column:
     return F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: ~F.coalesce(F.contains(text, m), F.lit(False)))
 
 
-class _Events(HTMLParser):
-    """A page as a list of (what, value): open or close with a tag, or text."""
+_UNSEEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(HIDDEN)})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.I | re.S)
+_TAG = re.compile(r"""(</?[a-z](?:[^<>"']|"[^"]*"|'[^']*')*>)""", re.I)
+_BREAK = re.compile(rf"<(?:/?(?:{'|'.join(t for t in BREAKING if t != 'br')})|br)\b", re.I)
 
-    def __init__(self, page: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, str]] = []
-        add = self.found.append
-        self.handle_starttag = lambda tag, _: add(("open", tag))
-        self.handle_endtag = lambda tag: add(("close", tag))
-        self.handle_data = lambda data: add(("text", data))
-        self.feed(page)
-        self.close()
 
-
-def visible_text(html: str | None) -> str | None:
+def visible_text(page: str | None) -> str | None:
     """What a page shows: a line per block, pieces of a line joined as they stand, blank lines left out."""
-    if html is None:
+    if page is None:
         return None
-    lines, hidden = [[]], 0
-    for what, value in _Events(html).found:
-        if what == "text":
-            if not hidden:
-                lines[-1].append(" ".join(value.split()))
-            continue
-        if value in HIDDEN:
-            hidden = max(0, hidden + (1 if what == "open" else -1))
-        if value in BREAKING and (what, value) != ("close", "br"):
-            lines.append([])
-    shown = filter(None, map("".join, lines))
-    return "\n".join(shown) + "\n"
+    # what isn't shown is an empty tag; after that, every second piece is a tag
+    pieces = _TAG.split(_UNSEEN.sub("<i>", page))
+    shown = ["\n" if _BREAK.match(p) else "" if k % 2 else " ".join(entities.unescape(p).split()) for k, p in enumerate(pieces)]
+    return "".join(f"{line}\n" for line in "".join(shown).split("\n") if line) or "\n"
 
 
 def visible(df: DataFrame, html: str, out: str) -> DataFrame:
@@ -88,22 +74,17 @@ def visible(df: DataFrame, html: str, out: str) -> DataFrame:
 
 
 Scorer = Callable[[list[str]], list[tuple[float, float, float]]]
-# A small word list that stands in for a trained classifier, which needs a model file.
-POSITIVE = ("gain", "grew", "growth", "improved", "record", "strong", "lifted", "raised", "benefited", "expanded", "boosted")
-NEGATIVE = ("declined", "loss", "weak", "fell", "hurt", "delay", "shortage", "impairment", "lowered", "pressured", "squeezed")
 
 
-def word_scorer(texts: list[str]) -> list[tuple[float, float, float]]:
-    """(pos, neg, neu) from counts of known words, each class with one word in advance; the parts add up to 1."""
-    out = []
-    for t in texts:
-        words = t.lower().replace(".", " ").replace(",", " ").split()
-        p, n = 1 + sum(w in POSITIVE for w in words), 1 + sum(w in NEGATIVE for w in words)
-        out.append((p / (p + n + 1), n / (p + n + 1), 1 / (p + n + 1)))
-    return out
+def label_of(name: str) -> str:
+    """The short name (pos, neg, neu) of a class; raises for others."""
+    short = name.strip().lower()[:3]
+    if short not in ("pos", "neg", "neu") or name.strip().lower() not in (short, {"pos": "positive", "neg": "negative", "neu": "neutral"}[short]):
+        raise ValueError(f"unknown class {name!r}")
+    return short
 
 
-def score_sentences(df: DataFrame, text: str, scorer: Scorer = word_scorer, batch: int = 32) -> DataFrame:
+def score_sentences(df: DataFrame, text: str, scorer: Scorer, batch: int = 32) -> DataFrame:
     """Add score: a struct of pos, neg and neu, by any scorer of lists of texts, in batches; its parts are null for a null text."""
 
     @F.pandas_udf("struct<pos:double,neg:double,neu:double>")

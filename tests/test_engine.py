@@ -48,12 +48,19 @@ def test_texts(spark):
     assert got[1] == ["This is one sentence.", "This is yet another one! short one.", "And so it goes on no end here.", "new para begins right here"] and got[2] is None and got[3] == []
     assert tx.visible_text("<h1>A</h1><p>x <b>y</b> z&amp;</p><script>no</script>") == "A\nxyz&\n"
     assert [r[0] for r in tx.visible(df.where("id > 1 and id < 4"), "t", "v").orderBy("id").select("v").collect()] == [None, "\n"]
+    pages = {
+        "<div>one</div>two<br>three<BR/>four": "one\ntwo\nthree\nfour\n", "<p>a &lt; b\n  c</p><!-- <p>no</p> --><noscript><p>no</p></noscript><li>d": "a < b c\nd\n",
+        '<a title="x > y">shown</a> <b>and</b>this<style>p {}</style>': "shownandthis\n", "<script>never closed <p>x": "\n", "1 < 2 and 3 > 2": "1 < 2 and 3 > 2\n", "<!DOCTYPE html><section>s</section>": "s\n",
+    }
+    assert {p: tx.visible_text(p) for p in pages} == pages and tx.visible_text(None) is None
+    ends = spark.createDataFrame([("one two three $497.6. Two three four 5.\n\nsix seven eight 1.\nnine",)], "t string").select(tx.sentences(F.col("t"))).first()[0]
+    assert ends == ["one two three $497.6.", "Two three four 5.", "six seven eight 1. nine"]
     t = spark.createDataFrame([("a Prepared Remarks b Stocks Mentioned c",), ("none",)], "t string")
     assert [r[0] for r in t.select(tx.trimmed(F.col("t"))).collect()] == ["Prepared Remarks b", "none"]
     scored = spark.createDataFrame([(1, 0.7, 0.2, 0.1), (1, 0.5, 0.25, 0.25), (1, 0.4, 0.4, 0.2)], "id int, p double, n double, u double").select("id", F.struct(F.col("p").alias("pos"), F.col("n").alias("neg"), F.col("u").alias("neu")).alias("score"))
     r = tx.call_aggregate(scored, "id").first()
     assert r["pos_frac"] == 1 and r["neg_frac"] == 0 and r["n_sentences"] == 3
-    s = tx.score_sentences(df.where("id < 3"), "t").orderBy("id").collect()
+    s = tx.score_sentences(df.where("id < 3"), "t", lambda texts: [(1 / 3, 1 / 3, 1 / 3)] * len(texts)).orderBy("id").collect()
     assert s[0]["score"]["pos"] == pytest.approx(1 / 3) and (s[1]["score"] is None or s[1]["score"]["pos"] is None)
 
 
