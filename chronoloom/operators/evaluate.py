@@ -108,11 +108,10 @@ def metrics(rows: DataFrame) -> DataFrame:
 
 
 def ablation_table(m: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """One row per model: overall_mae, fold_1_mae.., overall_qlike, overall_directional_accuracy."""
-    wide = m.groupBy("model").pivot("fold", list(range(folds + 1))).agg(F.first("mae"))
-    names = {"0": "overall_mae"} | {str(k): f"fold_{k}_mae" for k in range(1, folds + 1)}
-    overall = m.where("fold = 0").select("model", F.col("qlike").alias("overall_qlike"), F.col("directional_accuracy").alias("overall_directional_accuracy"))
-    return wide.withColumnsRenamed(names).join(overall, "model")
+    """One row per model: overall_mae, fold_1_mae.., overall_qlike, overall_directional_accuracy, in one aggregation."""
+    at = lambda k, c: F.max(F.when(F.col("fold") == k, F.col(c)))
+    maes = [at(k, "mae").alias(f"fold_{k}_mae" if k else "overall_mae") for k in range(folds + 1)]
+    return m.groupBy("model").agg(*maes, at(0, "qlike").alias("overall_qlike"), at(0, "directional_accuracy").alias("overall_directional_accuracy"))
 
 
 def relative_to(m: DataFrame, baseline: str, value: str = "mae") -> DataFrame:
@@ -122,6 +121,12 @@ def relative_to(m: DataFrame, baseline: str, value: str = "mae") -> DataFrame:
     return both.select("model", "fold", value, (F.col(value) - F.col("__b")).alias("delta_abs"), F.try_divide(F.col(value) - F.col("__b"), F.col("__b")).alias("delta_rel"))
 
 
+def guardrail(m: DataFrame, model: str, reference: float, tolerance: float = 0.05) -> DataFrame:
+    """(model, mae, reference, relative_error, within): a model's overall error held against a figure that was pinned before."""
+    error = F.abs(F.col("mae") - reference) / reference
+    return m.where((F.col("model") == model) & (F.col("fold") == 0)).select("model", "mae", F.lit(reference).alias("reference"), error.alias("relative_error"), (error <= tolerance).alias("within"))
+
+
 def within_guardrail(overall: float, reference: float, tolerance: float = 0.05) -> bool:
     """Is a metric within the relative tolerance of its reference?"""
     return abs(overall - reference) / reference <= tolerance

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.functions import classifier
 from chronoloom.functions import text as tx
-from chronoloom.operators import asof, bars, eda, evaluate, features, models, news
+from chronoloom.operators import asof, bars, contracts, eda, evaluate, features, models, news, report, scoring
 from chronoloom.session import cut
 from chronoloom.sources.tables import table
 
@@ -124,24 +125,26 @@ _feature_query("price_features_all", "returns", "realized_vol_5d", *features.PRI
 SELECT b.ticker, b.date, b.volume FROM bars b JOIN q USING (ticker) WHERE b.volume > p99""")
 def volume_tail(spark: SparkSession, d: str) -> DataFrame:
     b = _bars(spark, d)
-    limit = b.groupBy("ticker").agg(F.percentile("volume", F.lit(0.99)).alias("p99"))
+    limit = eda.percentiles(b, ["ticker"], "volume", {"p99": 0.99})
     return b.join(limit, "ticker").where("volume > p99").select("ticker", "date", "volume")
 
 
 # as-of joins: scores and news onto bars
 
-_CALLS = """calls AS (SELECT score_id, ticker, call_date, pos_mean FROM (SELECT *, row_number() OVER (PARTITION BY ticker, call_date ORDER BY score_id DESC) AS k
+CALL_FEATURES = (*[f"finbert_{c}" for c in contracts.CALL_COLUMNS], "days_since_last_call")
+NEWS_FEATURES = ("news_sent_mean", "news_risk_max", *contracts.NEWS_COUNTS)
+_CALLS = f"""calls AS (SELECT score_id, ticker, call_date, {", ".join(contracts.CALL_COLUMNS)} FROM (SELECT *, row_number() OVER (PARTITION BY ticker, call_date ORDER BY score_id DESC) AS k
   FROM finbert_scores WHERE ticker IS NOT NULL AND call_date IS NOT NULL) WHERE k = 1)"""
-_NEWS = """nw AS (SELECT news_id, ticker, as_of, news_sent_mean, news_count FROM (SELECT *, row_number() OVER (PARTITION BY ticker, as_of ORDER BY news_id DESC) AS k
+_NEWS = f"""nw AS (SELECT news_id, ticker, as_of, {", ".join(NEWS_FEATURES)} FROM (SELECT *, row_number() OVER (PARTITION BY ticker, as_of ORDER BY news_id DESC) AS k
   FROM news_scores WHERE ticker IS NOT NULL AND as_of IS NOT NULL) WHERE k = 1)"""
 
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "finbert_scores").select("score_id", "ticker", "call_date", "pos_mean")
+    return table(spark, d, "finbert_scores").select("score_id", "ticker", "call_date", *contracts.CALL_COLUMNS)
 
 
 def _news(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "news_scores").select("news_id", "ticker", "as_of", "news_sent_mean", "news_count")
+    return table(spark, d, "news_scores").select("news_id", "ticker", "as_of", *NEWS_FEATURES)
 
 
 @query(f"WITH {_BARS}, {_CALLS} SELECT b.ticker, b.date, c.score_id, c.pos_mean FROM bars b ASOF LEFT JOIN calls c ON b.ticker = c.ticker AND b.date > c.call_date")
@@ -184,15 +187,22 @@ def _enriched(spark: SparkSession, d: str) -> DataFrame:
     df = cut(df, "with_calls")
     df = asof.asof_join(df, _news(spark, d), ["ticker"], "date", "as_of", precedence=["news_id"], out="news")
     days = F.datediff(F.to_date("date"), F.to_date("call.call_date")).cast("double")
-    return df.withColumns({"finbert_pos_mean": F.col("call.pos_mean"), "days_since_last_call": days, "news_sent_mean": F.col("news.news_sent_mean"), "news_count": F.col("news.news_count").cast("double")}).drop("call", "news")
+    calls = {f"finbert_{c}": F.col(f"call.{c}") for c in contracts.CALL_COLUMNS}
+    return df.withColumns(calls | {"days_since_last_call": days} | {c: F.col(f"news.{c}").cast("double") for c in NEWS_FEATURES}).drop("call", "news")
+
+
+def _text_sql(date: str) -> str:
+    """The columns that calls (c) and news (n) give to a row with that date."""
+    calls = ", ".join(f"c.{c} AS finbert_{c}" for c in contracts.CALL_COLUMNS)
+    return f"{calls}, CAST(date_diff('day', CAST(c.call_date AS DATE), CAST({date} AS DATE)) AS DOUBLE) AS days_since_last_call, " + ", ".join(f"CAST(n.{c} AS DOUBLE) AS {c}" for c in NEWS_FEATURES)
 
 
 @query(f"""WITH {_BARS}, {_CALLS}, {_NEWS}
-SELECT b.ticker, b.date, c.pos_mean AS finbert_pos_mean, CAST(date_diff('day', CAST(c.call_date AS DATE), CAST(b.date AS DATE)) AS DOUBLE) AS days_since_last_call,
-  n.news_sent_mean, CAST(n.news_count AS DOUBLE) AS news_count
+SELECT b.ticker, b.date, {_text_sql("b.date")}
 FROM bars b ASOF LEFT JOIN calls c ON b.ticker = c.ticker AND b.date > c.call_date ASOF LEFT JOIN nw n ON b.ticker = n.ticker AND b.date >= n.as_of""")
 def asof_composed(spark: SparkSession, d: str) -> DataFrame:
-    return _enriched(spark, d).select("ticker", "date", "finbert_pos_mean", "days_since_last_call", "news_sent_mean", "news_count")
+    """The bars with all that calls and news before them tell: 6 and 13 columns."""
+    return _enriched(spark, d).select("ticker", "date", *CALL_FEATURES, *NEWS_FEATURES)
 
 
 # walk-forward
@@ -252,12 +262,8 @@ def fold_valid_counts(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.valid_counts(_folded(spark, d), _HAR_X, "target_rv5")
 
 
-FEATURE_SETS = {
-    "price": ("realized_vol_5d", *features.PRICE_FEATURES),
-    "price+finbert": ("realized_vol_5d", *features.PRICE_FEATURES, "finbert_pos_mean", "days_since_last_call"),
-    "price+news": ("realized_vol_5d", *features.PRICE_FEATURES, "news_sent_mean", "news_count"),
-    "price+all": ("realized_vol_5d", *features.PRICE_FEATURES, "finbert_pos_mean", "days_since_last_call", "news_sent_mean", "news_count"),
-}
+_PRICE = ("realized_vol_5d", *features.PRICE_FEATURES)
+FEATURE_SETS = {"price": _PRICE, "price+finbert": (*_PRICE, *CALL_FEATURES), "price+news": (*_PRICE, *NEWS_FEATURES), "price+all": (*_PRICE, *CALL_FEATURES, *NEWS_FEATURES)}
 
 
 def _complete(columns: tuple[str, ...]) -> str:
@@ -265,7 +271,7 @@ def _complete(columns: tuple[str, ...]) -> str:
 
 
 @query(f"""{_FOLDS}, {_CALLS}, {_NEWS},
-z AS (SELECT r.*, c.pos_mean AS finbert_pos_mean, c.call_date AS days_since_last_call, n.news_sent_mean, n.news_count
+z AS (SELECT r.*, {_text_sql("r.date")}
   FROM r ASOF LEFT JOIN calls c ON r.ticker = c.ticker AND r.date > c.call_date ASOF LEFT JOIN nw n ON r.ticker = n.ticker AND r.date >= n.as_of)
 SELECT feature_set, ticker, count(*) FILTER (a > 0 AND b > 0) AS n_folds FROM ({" UNION ALL ".join(
     f"SELECT '{n}' AS feature_set, ticker, eval_fold, count(*) FILTER (role = 'train' AND {_complete(c)}) AS a, count(*) FILTER (role = 'test' AND {_complete(c)}) AS b FROM z GROUP BY ALL" for n, c in FEATURE_SETS.items())}) GROUP BY ALL""")
@@ -317,12 +323,15 @@ def long_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(m.unpivot(["model", "fold"], ["mae", "qlike", "directional_accuracy"], "metric", "value"))
 
 
-@query(f"""{_ME}, b AS (SELECT mae FROM me WHERE model = 'persistence' AND fold = 0)
-SELECT model, round(me.mae / b.mae, 6) AS ratio, abs(me.mae - b.mae) / b.mae <= 0.05 AS within FROM me, b WHERE fold = 0""")
+#: The figure that persistence is held against where none other is given.
+PINNED_MAE = 0.020326
+
+
+@query(f"""{_ME} SELECT model, round(mae, 6) AS mae, {PINNED_MAE}::DOUBLE AS reference, round(abs(mae - {PINNED_MAE}) / {PINNED_MAE}, 6) AS relative_error, abs(mae - {PINNED_MAE}) / {PINNED_MAE} <= 0.05 AS within
+FROM me WHERE fold = 0 AND model = 'persistence'""")
 def persistence_guardrail(spark: SparkSession, d: str) -> DataFrame:
-    """Is each model's overall error within 5 % of persistence?"""
-    rel = evaluate.relative_to(_metrics(spark, d), "persistence").where("fold = 0")
-    return rel.select("model", F.round(1 + F.col("delta_rel"), 6).alias("ratio"), (F.abs("delta_rel") <= 0.05).alias("within"))
+    """Is the overall error of persistence within 5 % of the pinned figure? (On other data than those it was pinned on it is not.)"""
+    return _rounded(evaluate.guardrail(_metrics(spark, d), "persistence", PINNED_MAE), "reference")
 
 
 @query()
@@ -332,12 +341,17 @@ def gbt_forecast(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.metrics(rows)
 
 
-def _compared(spark: SparkSession, d: str) -> DataFrame:
-    """The errors of the trees by feature set (as model) and fold: a walk-forward for each, on its complete cases. Raises
-    before any fit if a set has none."""
+def _checked_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The enriched rows with their folds; raises before any fit if a feature set has no fold that can be trained and tested."""
     df = cut(evaluate.with_fold(_enriched(spark, d)), "enriched")
     for columns in FEATURE_SETS.values():
         evaluate.require_estimable(evaluate.valid_counts(df, columns, "target_rv5", by=()))
+    return df
+
+
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    """The errors of the trees by feature set (as model) and fold: a walk-forward for each, on its complete cases."""
+    df = _checked_sets(spark, d)
     out = None
     for name, columns in FEATURE_SETS.items():
         one = models.gbt_forecasts(df, columns).withColumn("model", F.lit(name))
@@ -345,16 +359,38 @@ def _compared(spark: SparkSession, d: str) -> DataFrame:
     return cut(evaluate.metrics(out), "metrics")
 
 
+def set_table(m: DataFrame) -> DataFrame:
+    """A row for each feature set: its errors overall and by fold, the rows they are of, and its difference from price alone."""
+    rel = evaluate.relative_to(m, "price").where("fold = 0").select("model", "delta_abs", "delta_rel")
+    overall = m.where("fold = 0").select("model", "n_test")
+    return evaluate.ablation_table(m).join(overall, "model").join(rel, "model").withColumnRenamed("model", "feature_set")
+
+
 @query()
 def ablation_feature_sets(spark: SparkSession, d: str) -> DataFrame:
-    """The ablation of the feature sets: a row of errors for each, with its overall mae against that of price alone.
+    """The ablation of the feature sets with boosted trees: a row of errors for each, with its overall mae against that of price alone.
 
     n_test is the number of rows that the errors are of: sets with calls or news have fewer complete cases.
     """
-    m = _compared(spark, d)
-    rel = evaluate.relative_to(m, "price").where("fold = 0").select("model", "delta_abs", "delta_rel")
-    overall = m.where("fold = 0").select("model", "n_test")
-    return evaluate.ablation_table(m).join(overall, "model").join(rel, "model").withColumnRenamed("model", "feature_set")
+    return set_table(_compared(spark, d))
+
+
+def linear_ablation(spark: SparkSession, d: str) -> DataFrame:
+    m = evaluate.metrics(models.linear_sets(_checked_sets(spark, d), FEATURE_SETS))
+    return set_table(cut(m, "metrics"))
+
+
+@query()
+def ablation_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The same with least squares: all sets and folds from one reading of the training rows."""
+    return linear_ablation(spark, d)
+
+
+@query()
+def ablation_report(spark: SparkSession, d: str) -> DataFrame:
+    """The ablation as a report: sets in a fixed order, differences in words and as signed shares."""
+    t = report.in_category_order(linear_ablation(spark, d), "feature_set", list(FEATURE_SETS))
+    return t.select("position", "feature_set", report.number_text(F.col("overall_mae")).alias("mae"), report.share_text(F.col("delta_rel")).alias("change"), report.delta_sentence(F.col("feature_set"), F.col("delta_rel"), "price").alias("sentence"))
 
 
 @query()
@@ -387,8 +423,7 @@ def _strongest(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 @query(f"""{_F}, {_CALLS}, {_NEWS},
-z AS (SELECT f.*, c.pos_mean AS finbert_pos_mean, CAST(date_diff('day', CAST(c.call_date AS DATE), CAST(f.date AS DATE)) AS DOUBLE) AS days_since_last_call,
-  n.news_sent_mean, CAST(n.news_count AS DOUBLE) AS news_count
+z AS (SELECT f.*, {_text_sql("f.date")}
   FROM f ASOF LEFT JOIN calls c ON f.ticker = c.ticker AND f.date > c.call_date ASOF LEFT JOIN nw n ON f.ticker = n.ticker AND f.date >= n.as_of),
 s AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, abs(corr({n}, target_rv5)) AS strength FROM z" for n in FEATURE_SETS["price+all"])})
 SELECT feature, round(strength, 6) AS strength, CASE WHEN starts_with(feature, 'finbert_') OR feature = 'days_since_last_call' THEN 'finbert' WHEN starts_with(feature, 'news_') THEN 'news' ELSE 'price' END AS family
@@ -554,6 +589,46 @@ def token_totals(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("n_articles"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.avg(drop), 6).alias("drop_rate"))
 
 
+_RATES = {"input_tokens": 1.0, "output_tokens": 5.0, "cache_creation_input_tokens": 1.25, "cache_read_input_tokens": 0.1}
+
+
+@query(f"SELECT article_id, round({' + '.join(f'coalesce({t}, 0) / 1000000.0 * {r}' for t, r in _RATES.items())}, 9) AS cost FROM article_score")
+def token_cost(spark: SparkSession, d: str) -> DataFrame:
+    """Each article's cost at given rates per million tokens (the rates are a parameter)."""
+    return table(spark, d, "article_score").select("article_id", F.round(scoring.token_cost(_RATES), 9).alias("cost"))
+
+
+@query("""SELECT count(*) AS scored, 7::BIGINT AS dropped, greatest((SELECT count(*) FROM article_score) - count(*) - 7, 0)::BIGINT AS remaining, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+  CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(total_cost_usd), 6) AS total_cost_usd, round(sum(total_cost_usd) / 50.0, 6) AS cap_share FROM article_score WHERE batch_id <= 2""")
+def cost_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What a run that has scored the first batches has cost, against a cap of 50, with 7 articles dropped."""
+    a = table(spark, d, "article_score")
+    return _rounded(scoring.cost_totals(a.where("batch_id <= 2"), a.count(), 7, 50.0))
+
+
+@query("""SELECT article_id, md5('Score the article.' || chr(10) || chr(10) || 'published: ' || coalesce(published_at, '') || chr(10) || 'source: ' || coalesce(source_name, '') || chr(10) || 'title: ' || coalesce(title, '')) AS prompt_md5
+FROM article_score""")
+def prompt_text(spark: SparkSession, d: str) -> DataFrame:
+    """The prompts of the articles."""
+    p = scoring.prompt("Score the article.", {"published": F.col("published_at"), "source": F.col("source_name"), "title": F.col("title")})
+    return table(spark, d, "article_score").select("article_id", F.md5(p).alias("prompt_md5"))
+
+
+_TAGS_SQL = f"[{', '.join(repr(t) for t in news.TAGS)}]"
+
+
+@query(f"""WITH a AS (SELECT article_id, sentiment_score * 1.02 AS s, risk_score AS r, topic_tags AS t, article_id % 7 = 3 AS broken FROM article_score),
+g AS (SELECT *, coalesce(NOT broken AND s BETWEEN -1 AND 1 AND r BETWEEN 0 AND 1 AND len(list_filter(coalesce(t, []), lambda x: x IS NULL OR NOT list_contains({_TAGS_SQL}, x))) = 0, false) AS ok FROM a)
+SELECT article_id, CASE WHEN ok THEN round(s, 6) END AS sentiment_score, CASE WHEN ok THEN round(r, 6) END AS risk_score, CASE WHEN ok THEN list_filter({_TAGS_SQL}, lambda x: coalesce(list_contains(t, x), false)) END AS topic_tags FROM g""")
+def answer_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Answers in JSON, made from the articles' scores, some out of range and some cut off, and read again: null where one is unusable."""
+    a = table(spark, d, "article_score")
+    whole = F.to_json(F.struct((F.col("sentiment_score") * 1.02).alias("sentiment_score"), "risk_score", "topic_tags"))
+    text = F.when(F.col("article_id") % 7 == 3, F.substr(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
+    got = a.select("article_id", scoring.parsed_answer(text).alias("x"))
+    return _rounded(got.select("article_id", "x.sentiment_score", "x.risk_score", "x.topic_tags"))
+
+
 _TAG_LIST = ", ".join(f"'{t}'" for t in news.TAGS)
 
 
@@ -583,18 +658,27 @@ def daily_events(spark: SparkSession, d: str) -> DataFrame:
 # texts
 
 
-@query()
+_SENTENCES = rf"""s1 AS (SELECT doc_id, regexp_replace(replace(text, chr(1), ' '), '\r\n?', chr(10), 'g') AS t FROM documents),
+s2 AS (SELECT doc_id, regexp_replace(t, '([.!?])\n\n+', '\1' || chr(1), 'g') AS t FROM s1),
+s3 AS (SELECT doc_id, regexp_replace(t, '{tx.SPACE}+', ' ', 'g') AS t FROM s2),
+s4 AS (SELECT doc_id, regexp_replace(t, '([.!?]) ([A-Z])', '\1' || chr(1) || '\2', 'g') AS t FROM s3),
+s AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda p: trim(p, ' ')), lambda p: len(string_split(p, ' ')) >= 4) AS s FROM s4)"""
+
+
+@query(f"WITH {_SENTENCES} SELECT doc_id, CAST(len(s) AS INTEGER) AS n_sentences, CAST(CASE WHEN s IS NOT NULL THEN coalesce(list_sum(list_transform(s, lambda p: len(string_split(p, ' ')))), 0) END AS BIGINT) AS n_words, md5(array_to_string(s, chr(10))) AS sentences_md5 FROM s")
 def sentence_stats(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "documents").select("doc_id", tx.sentences(F.col("text")).alias("s"))
-    words = F.aggregate("s", F.lit(0), lambda n, x: n + F.size(F.split(x, " ")))
-    return s.select("doc_id", F.size("s").alias("n_sentences"), words.alias("n_words"))
+    words = F.aggregate("s", F.lit(0).cast("bigint"), lambda n, x: n + F.size(F.split(x, " ")))
+    return s.select("doc_id", F.when(F.col("s").isNotNull(), F.size("s")).alias("n_sentences"), words.alias("n_words"), F.md5(F.array_join("s", "\n")).alias("sentences_md5"))
 
 
 @query()
 def scorer_udf(spark: SparkSession, d: str) -> DataFrame:
-    """Calls split into sentences, scored in batches and brought together per document."""
+    """Calls split into sentences, scored in batches and brought together per document, by a classifier trained on the articles' titles and scores."""
+    labelled = table(spark, d, "article_score").select("title", classifier.label(F.col("sentiment_score")).alias("label"))
+    scorer = classifier.train(labelled, "title", "label")
     s = table(spark, d, "documents").where("doc_kind = 'call'").select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("sentence"))
-    return _rounded(tx.call_aggregate(tx.score_sentences(s, "sentence"), "doc_id"))
+    return _rounded(tx.call_aggregate(tx.score_sentences(s, "sentence", scorer), "doc_id"))
 
 
 @query("""SELECT ticker, count(*) AS n_scores, round(avg(pos_mean), 6) AS pos_mean, round(avg(neg_mean), 6) AS neg_mean, round(avg(CASE WHEN pos_mean >= neg_mean AND pos_mean >= neu_mean THEN 1.0 ELSE 0.0 END), 6) AS pos_frac,
@@ -617,11 +701,13 @@ def marker_trim(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(tx.trimmed(F.col("text"), _START, _END)).alias("section"))
 
 
-@query("""SELECT doc_id, length(text) < 8000 AS too_short, NOT contains(text, 'Operator') AS no_operator, NOT contains(text, 'Analyst') AS no_analyst FROM documents WHERE doc_kind = 'call' AND text IS NOT NULL""")
+@query("""SELECT doc_id, list_filter([CASE WHEN length(text) < 8000 THEN 'too_short' END, CASE WHEN NOT contains(text, 'Operator') THEN 'no_Operator' END, CASE WHEN NOT contains(text, 'Analyst') THEN 'no_Analyst' END,
+  CASE WHEN NOT contains(text, 'question') THEN 'no_question' END, CASE WHEN NOT contains(text, 'quarter') THEN 'no_quarter' END, CASE WHEN NOT contains(text, regexp_extract(fiscal_period, '[0-9]{4}', 0)) THEN 'no_call_year' END], lambda x: x IS NOT NULL) AS faults
+FROM documents WHERE doc_kind = 'call' AND text IS NOT NULL""")
 def transcript_contract(spark: SparkSession, d: str) -> DataFrame:
+    """What the calls' transcripts lack: length, markers, the year of their period."""
     t = table(spark, d, "documents").where("doc_kind = 'call' AND text IS NOT NULL")
-    lack = tx.missing_markers(F.col("text"), ("Operator", "Analyst"))
-    return t.select("doc_id", (F.length("text") < 8000).alias("too_short"), F.array_contains(lack, "Operator").alias("no_operator"), F.array_contains(lack, "Analyst").alias("no_analyst"))
+    return t.select("doc_id", contracts.transcript_faults(F.col("text"), F.regexp_extract("fiscal_period", "[0-9]{4}", 0), ("Operator", "Analyst", "question", "quarter")).alias("faults"))
 
 
 @query()
@@ -630,9 +716,56 @@ def html_text(spark: SparkSession, d: str) -> DataFrame:
     return tx.visible(table(spark, d, "documents").select("doc_id", "text"), "text", "shown").select("doc_id", F.md5("shown").alias("shown_md5"), F.length("shown").alias("n_shown"))
 
 
-@query("""SELECT call_id, fiscal_period FROM (SELECT call_id, fiscal_period, count(*) OVER (PARTITION BY ticker, call_date) AS n FROM transcript_manifest WHERE call_date IS NOT NULL AND ticker IS NOT NULL) WHERE n > 1""")
+@query("""SELECT call_id, fiscal_period FROM (SELECT call_id, fiscal_period, count(*) OVER (PARTITION BY ticker, CAST(call_date AS DATE)) AS n FROM transcript_manifest WHERE call_date IS NOT NULL AND ticker IS NOT NULL) WHERE n > 1""")
 def manifest_repeats(spark: SparkSession, d: str) -> DataFrame:
-    """The manifest contract's uniqueness: calls that are listed more than once."""
-    m = table(spark, d, "transcript_manifest").where("call_date IS NOT NULL AND ticker IS NOT NULL")
-    many = m.groupBy("ticker", "call_date").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return m.join(many, ["ticker", "call_date"], "left_semi").select("call_id", "fiscal_period")
+    """The manifest contract's uniqueness: calls that are listed more than once for a day."""
+    m = table(spark, d, "transcript_manifest").where("call_date IS NOT NULL AND ticker IS NOT NULL").withColumn("day", F.to_date("call_date"))
+    many = m.groupBy("ticker", "day").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return m.join(many, ["ticker", "day"], "left_semi").select("call_id", "fiscal_period")
+
+
+@query("""WITH v AS (SELECT 'null_call_date' AS violation, count(*) FILTER (call_date IS NULL) AS n_rows FROM transcript_manifest
+  UNION ALL SELECT 'repeated_ticker_' || k, CAST(sum(n - 1) AS BIGINT) FROM (SELECT 'call_date' AS k, count(*) AS n FROM transcript_manifest WHERE call_date IS NOT NULL GROUP BY ticker, call_date
+    UNION ALL SELECT 'filename', count(*) FROM transcript_manifest WHERE filename IS NOT NULL GROUP BY ticker, filename
+    UNION ALL SELECT 'fiscal_period', count(*) FROM transcript_manifest WHERE fiscal_period IS NOT NULL GROUP BY ticker, fiscal_period) GROUP BY k)
+SELECT violation, n_rows FROM v WHERE n_rows > 0""")
+def manifest_contract(spark: SparkSession, d: str) -> DataFrame:
+    return contracts.manifest_violations(table(spark, d, "transcript_manifest"), ["ticker"])
+
+
+@query(f"""WITH n AS (SELECT * FROM news_scores), c AS (SELECT {", ".join(f"count(*) FILTER ({x} IS NULL) AS null_{x}" for x in ("ticker", "as_of", *NEWS_FEATURES))}, {", ".join(f"count(*) FILTER ({x} < 0) AS negative_{x}" for x in contracts.NEWS_COUNTS)} FROM n),
+r AS (SELECT CAST(sum(k - 1) AS BIGINT) AS n_rows FROM (SELECT count(*) AS k FROM n GROUP BY ticker, as_of))
+SELECT violation, n_rows FROM (UNPIVOT c ON COLUMNS(*) INTO NAME violation VALUE n_rows) WHERE n_rows > 0 UNION ALL SELECT 'repeated_ticker_as_of', n_rows FROM r WHERE n_rows > 0""")
+def daily_news_contract(spark: SparkSession, d: str) -> DataFrame:
+    return contracts.daily_news_violations(table(spark, d, "news_scores"), ["ticker"])
+
+
+# more statistics
+
+
+@query(f"""{_F} SELECT ticker, count(returns) AS n, round(avg(returns) * 252, 6) AS mean_per_year, round(stddev_samp(returns) * sqrt(252.0), 6) AS std_per_year FROM f GROUP BY ticker""")
+def annualised(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(eda.annualised(_features(spark, d), ["ticker"], "returns"))
+
+
+@query(f"""{_F}, k AS (SELECT unnest([1, 5, 10]) AS lag), c AS (SELECT ticker, count(returns) AS n FROM f GROUP BY ticker),
+a AS (SELECT a.ticker, CAST(lag AS INTEGER) AS lag, corr(a.returns, b.returns) AS acf FROM f a, k, f b WHERE b.ticker = a.ticker AND b.rn = a.rn - lag AND a.returns IS NOT NULL AND b.returns IS NOT NULL GROUP BY ALL)
+SELECT ticker, lag, round(acf, 6) AS acf, round(1.96 / sqrt(n), 6) AS band, abs(acf) > 1.96 / sqrt(n) AS stands_out FROM a JOIN c USING (ticker)""")
+def acf_bands(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(eda.acf_with_bands(_kept_features(spark, d), ["ticker"], "returns", (1, 5, 10)))
+
+
+@query(f"""{_F}, c AS (SELECT ticker, returns, avg(returns) OVER (PARTITION BY ticker) AS m FROM f),
+g AS (SELECT ticker, count(returns) AS n, avg(returns) AS mean, stddev_samp(returns) AS std, {_M.format(4)} / power({_M.format(2)}, 2) - 3 AS kurt FROM c GROUP BY ticker),
+t AS (SELECT *, CASE WHEN kurt > 0 THEN 4 + 6 / kurt END AS v FROM g) SELECT ticker, n, {_cols("mean", "std")}, round(v, 6) AS t_degrees, round(std * sqrt((v - 2) / v), 6) AS t_scale FROM t""")
+def fitted_shapes(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(eda.fitted_shapes(_features(spark, d), ["ticker"], "returns"))
+
+
+@query(f"""{_F}, p AS (SELECT CAST(unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS DOUBLE) AS p), z AS (SELECT CAST(unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS DOUBLE) AS p,
+  unnest([-1.2815515655446008, -0.8416212335729142, -0.5244005127080409, -0.2533471031357997, 0.0, 0.2533471031357997, 0.5244005127080407, 0.8416212335729143, 1.2815515655446008]) AS z),
+g AS (SELECT ticker, avg(returns) AS m, stddev_samp(returns) AS s, quantile_cont(returns, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM f GROUP BY ticker)
+SELECT ticker, p, round(q[CAST(round(p * 10) AS INTEGER)], 6) AS sample, round(m + s * z, 6) AS normal FROM g, z""")
+def quantile_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of returns beside the normal distribution's."""
+    return _rounded(eda.quantile_pairs(_features(spark, d), ["ticker"], "returns", 9), "p")
