@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronoloom.functions.timestamps import ABBREVIATIONS, MONTHS
 from chronoloom.operators import instants, rolling, spikes, validity
 from chronoloom.sources.tables import table
 
@@ -97,6 +98,52 @@ j AS (SELECT ticker, d, news_count, close, realized_vol_5d FROM cal LEFT JOIN n
 SELECT ticker, strftime(d, '%Y-%m-%d') AS day, {", ".join(cols)} FROM j"""
 
 
+# Problem 2 in SQL has its own way to read: one pattern for a date, one for a clock and one for a zone, taken off the text from the end, and a
+# table of every zone's offsets by hour instead of zone functions on local times
+_OFFSETS = "{" + ", ".join(f"'{k.lower()}': {(60 * int(v[1:3]) + int(v[4:])) * (-1 if v[0] == '-' else 1)}" for k, v in ABBREVIATIONS.items()) + "}"
+_MONTHS = "['" + "', '".join(MONTHS) + "']"
+_CLOCK = r"[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?([ ]*[ap]m\b)?"
+_TAIL = rf"(t|,?\s+)({_CLOCK})(\s*(z|[a-z]{{2,5}}|[+-][0-9]{{2}}:?[0-9]{{2}}|[a-z]+(/[a-z0-9_+-]+)+))?$"
+def instants_sql(values: str) -> str:
+    """(article_id, field_name, utc_ms) of the values (article_id, feed, field, value) that name an instant."""
+    return rf"""
+WITH raw AS ({values}),
+v AS (SELECT article_id, field, lower(trim(value, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(8201) || chr(8203) || chr(65279))) AS v, CASE WHEN field = 'as_of' THEN 'UTC' ELSE zone_name END AS home, date_order FROM raw JOIN feeds USING (feed)),
+b AS (SELECT *, regexp_replace(v, '^([0-9]{{4}})([0-9]{{2}})([0-9]{{2}})t([0-9]{{2}})([0-9]{{2}})([0-9]{{2}})', '\1-\2-\3t\4:\5:\6') AS w FROM v),
+c AS (SELECT *, regexp_extract(w, '{_TAIL}', 2) AS clock, regexp_extract(w, '{_TAIL}', 7) AS zone, regexp_replace(w, '{_TAIL}', '') AS day FROM b),
+e AS (SELECT *, regexp_replace(day, '^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+', '') AS d FROM c),
+f AS (SELECT *, CASE
+  WHEN regexp_full_match(d, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN string_split(d, '-')
+  WHEN regexp_full_match(d, '[0-9]{{8}}') AND clock = '' THEN [d[1:4], d[5:6], d[7:8]]
+  WHEN regexp_full_match(d, '[0-9]{{1,2}}/[0-9]{{1,2}}/([0-9]{{4}}|[0-9]{{2}})') THEN CASE date_order WHEN 'MDY' THEN [string_split(d, '/')[3], string_split(d, '/')[1], string_split(d, '/')[2]] WHEN 'DMY' THEN list_reverse(string_split(d, '/')) END
+  WHEN regexp_full_match(d, '[0-9]{{1,2}}\.[0-9]{{1,2}}\.([0-9]{{4}}|[0-9]{{2}})') THEN list_reverse(string_split(d, '.'))
+  WHEN regexp_full_match(d, '[0-9]{{1,2}}\s+[a-z]{{3,9}}\.?,?\s+([0-9]{{4}}|[0-9]{{2}})') THEN [regexp_extract(d, '([0-9]+)$', 1), list_position({_MONTHS}, regexp_extract(d, '[a-z]{{3}}', 0))::VARCHAR, regexp_extract(d, '^[0-9]+', 0)]
+  WHEN regexp_full_match(d, '[a-z]{{3,9}}\.?\s+[0-9]{{1,2}},?\s+[0-9]{{4}}') THEN [regexp_extract(d, '([0-9]+)$', 1), list_position({_MONTHS}, regexp_extract(d, '^[a-z]{{3}}', 0))::VARCHAR, regexp_extract(d, '[0-9]+', 0)] END AS ymd FROM e),
+g AS (SELECT *, TRY_CAST(CASE WHEN length(ymd[1]) = 2 THEN '20' || ymd[1] ELSE ymd[1] END AS INTEGER) AS y, TRY_CAST(ymd[2] AS INTEGER) AS m, TRY_CAST(ymd[3] AS INTEGER) AS dd,
+  TRY_CAST(nullif(regexp_extract(clock, '^([0-9]+)', 1), '') AS INTEGER) AS h0, TRY_CAST(nullif(regexp_extract(clock, '^[0-9]+:([0-9]+)', 1), '') AS INTEGER) AS mi, TRY_CAST(nullif(regexp_extract(clock, '^[0-9]+:[0-9]+:([0-9]+)', 1), '') AS INTEGER) AS se,
+  rpad(regexp_extract(clock, '[.,]([0-9]+)', 1)[1:3], 3, '0') AS ms, regexp_extract(clock, '[ap]m', 0) AS half FROM f),
+k AS (SELECT *, CASE half WHEN '' THEN h0 ELSE CASE WHEN h0 BETWEEN 1 AND 12 THEN h0 % 12 + CASE WHEN half = 'pm' THEN 12 ELSE 0 END ELSE 99 END END AS h FROM g),
+t0 AS (SELECT *, TRY_CAST(lpad(y::VARCHAR, 4, '0') || '-' || lpad(m::VARCHAR, 2, '0') || '-' || lpad(dd::VARCHAR, 2, '0') || ' ' || lpad(coalesce(h, 0)::VARCHAR, 2, '0') || ':' || lpad(coalesce(mi, 0)::VARCHAR, 2, '0') || ':' || lpad(coalesce(se, 0)::VARCHAR, 2, '0') AS TIMESTAMP) AS wall,
+  CASE WHEN clock = '' AND d <> w AND d <> day THEN '' ELSE zone END AS z FROM k WHERE coalesce(h, 0) < 24 AND coalesce(mi, 0) < 60 AND coalesce(se, 0) < 60),
+t AS (SELECT t0.* REPLACE (coalesce(n.name, home) AS home, CASE WHEN n.name IS NOT NULL THEN '' ELSE z END AS z) FROM t0 LEFT JOIN (SELECT DISTINCT name FROM pg_timezone_names() WHERE contains(name, '/')) n ON lower(n.name) = z),
+u AS (SELECT *, CASE WHEN z = '' THEN NULL WHEN regexp_full_match(z, '[+-][0-9]{{2}}:?[0-9]{{2}}') THEN (z[2:3]::INTEGER * 60 + right(z, 2)::INTEGER) * CASE z[1] WHEN '-' THEN -1 ELSE 1 END ELSE map_extract_value(MAP {_OFFSETS}, z) END AS fixed FROM t),
+homes AS (SELECT DISTINCT home AS zone FROM t), hours AS (SELECT unnest(generate_series(TIMESTAMP '2015-01-01', TIMESTAMP '2031-01-01', INTERVAL 1 HOUR)) AS hour),
+o AS (SELECT zone, hour, date_diff('minute', hour, timezone(zone, timezone('UTC', hour))) AS off FROM homes, hours),
+n AS (SELECT zone, hour + to_minutes(off) AS local, off, hour FROM o),
+-- of the offsets in force within a day around, the first instant whose clock shows the local time; where none does, the offset before
+near AS (SELECT u.article_id, u.field, u.wall, min(u.wall - to_minutes(o.off)) FILTER (x.off = o.off) AS shown, arg_min(o.off, o.hour) AS before_
+  FROM u JOIN o ON u.fixed IS NULL AND u.z = '' AND o.zone = u.home AND o.hour IN (date_trunc('hour', u.wall - INTERVAL 1 DAY), date_trunc('hour', u.wall + INTERVAL 1 DAY))
+  LEFT JOIN o x ON x.zone = u.home AND x.hour = date_trunc('hour', u.wall - to_minutes(o.off)) WHERE u.wall IS NOT NULL GROUP BY ALL),
+r AS (SELECT u.article_id, u.field, u.ms, CASE WHEN u.fixed IS NOT NULL THEN u.wall - to_minutes(u.fixed) WHEN u.z = '' THEN coalesce(near.shown, u.wall - to_minutes(near.before_)) END AS utc
+  FROM u LEFT JOIN near ON near.article_id = u.article_id AND near.field = u.field WHERE u.wall IS NOT NULL)
+SELECT article_id, field AS field_name, epoch_ms(utc) + coalesce(TRY_CAST(ms AS BIGINT), 0) AS utc_ms FROM r WHERE utc IS NOT NULL
+UNION ALL SELECT article_id, field, CASE WHEN length(v) < 12 THEN v::BIGINT * 1000 ELSE v::BIGINT END FROM v WHERE regexp_full_match(v, '[0-9]{{1,15}}') AND length(v) <> 8"""
+
+
+_P2 = instants_sql("""SELECT article_id, feed, field, value FROM (SELECT article_id, feed, 'published_at' AS field, published_at AS value FROM article_score UNION ALL SELECT article_id, feed, 'as_of', as_of FROM article_score)
+  WHERE value IS NOT NULL AND NOT (field = 'published_at' AND regexp_full_match(value, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z')) AND NOT (field = 'as_of' AND regexp_full_match(value, '[0-9]{4}-[0-9]{2}-[0-9]{2}'))""")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -108,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "p2_found": _P2,
     "p3_found": f"SELECT bar_id, score_id FROM ({_P3}) WHERE rn = 1",
     "p3_bars_with_scores": f"SELECT b.bar_id, b.ticker, b.date, k.score_id, k.pos_mean FROM nvda_prices b LEFT JOIN (SELECT * FROM ({_P3}) WHERE rn = 1) k ON k.bar_id = b.bar_id",
     "p4_found": f"SELECT bar_id, field_name FROM ({_P4})",
