@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.functions.timestamps import EDGES
 from chronoloom.llm import canonical, leakage, packing, spans, tick_join, vector_cells
+from chronoloom.plans.general import instants_sql
 from chronoloom.sources.tables import table
 
 RECORD = ("url", "title", "source_name")
@@ -86,6 +88,16 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed_documents(table(spark, d, "documents"))
 
 
+def p8_cover(spark: SparkSession, d: str) -> DataFrame:
+    """For each document with a text: are all its tokens placed, once each, and split only if they are more than a container holds?"""
+    counts = packing.token_counts(table(spark, d, "documents")).where("n_tokens > 0")
+    placed = p8_packed(spark, d)
+    full = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("in_container"))
+    per = placed.join(full, "container_id").groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("parts"), F.countDistinct("first_token").alias("starts"), F.max("in_container").alias("fullest"))
+    whole = (F.col("placed") == F.col("n_tokens")) & (F.col("parts") == F.col("starts")) & (F.col("parts") == F.ceil(F.col("n_tokens") / packing.CAPACITY))
+    return counts.join(per, "doc_id", "left").select("doc_id", F.coalesce(whole, F.lit(False)).alias("whole"), F.coalesce(F.col("fullest") <= packing.CAPACITY, F.lit(False)).alias("fits"))
+
+
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     """One row: containers, tokens in them, and the share of room that is left."""
     per = p8_packed(spark, d).groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
@@ -124,6 +136,31 @@ dg AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM dk), ig AS (SE
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
 
 
+_EDGES = "' ' || " + " || ".join(f"chr({ord(c)})" for c in EDGES if c != " ")
+_P5 = f"""
+WITH i AS ({instants_sql("SELECT article_id, feed, 'published_at' AS field, published_at AS value FROM article_score WHERE published_at IS NOT NULL AND url IS NOT NULL")}),
+u AS (SELECT article_id, batch_id, utc_ms AS ms, lower(trim(url, {_EDGES})) AS u FROM article_score JOIN i USING (article_id) WHERE url IS NOT NULL AND batch_id IS NOT NULL),
+p AS (SELECT *, regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*:)?/*([^/?#]*)([^?#]*)', 1) AS host, regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*:)?/*([^/?#]*)([^?#]*)', 2) AS path, regexp_extract(u, '^[^?#]*[?]([^#]*)', 1) AS q FROM u),
+a AS (SELECT article_id, batch_id, ms, array_to_string(list_transform([regexp_replace(regexp_replace(host, ':[0-9]*$', ''), '^(www|m|amp)[.]', ''), path, regexp_extract(q, '(?:^|&)id=([^&]*)', 1), regexp_extract(q, '(?:^|&)page=([^&]*)', 1)],
+  lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')), chr(10)) AS address FROM p)
+SELECT min(k.article_id) AS kept_id, a.article_id FROM a JOIN a k ON k.address = a.address AND k.batch_id < a.batch_id AND abs(k.ms - a.ms) <= 600000 WHERE a.batch_id >= 1 GROUP BY a.article_id"""
+# a stretch of 300 characters holds one of the blocks of 150 that a text is made of; windows are compared for the documents with such a block only.
+# Texts as lists of characters, so that a window costs its own length, wherever it begins
+_P10 = """
+WITH t AS (SELECT doc_id, text FROM documents WHERE length(text) >= 300),
+b AS (SELECT doc_id, substr(text, 150 * unnest(range(0, length(text) // 150)) + 1, 150) AS block FROM t),
+o AS (SELECT block, min(doc_id) AS lo, max(doc_id) AS hi FROM b GROUP BY block),
+x AS (SELECT DISTINCT t.doc_id AS a, o.block FROM o JOIN t ON contains(t.text, o.block) AND (o.lo <> t.doc_id OR o.hi <> t.doc_id)),
+near AS (SELECT a AS doc_id FROM x UNION SELECT b.doc_id FROM b WHERE block IN (SELECT block FROM x)),
+d AS (SELECT doc_id, string_split(text, '') AS c FROM t SEMI JOIN near USING (doc_id)),
+k AS (SELECT doc_id, c, unnest(range(1, len(c) - 298)) AS k FROM d),
+w AS (SELECT DISTINCT doc_id, md5_number(array_to_string(c[k:k + 299], '')) AS h FROM k),
+r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), m AS (SELECT doc_id, h FROM w JOIN r USING (h)),
+s AS (SELECT h, list(doc_id ORDER BY doc_id) AS docs FROM m GROUP BY h), g AS (SELECT DISTINCT docs FROM s),
+e AS (SELECT docs, unnest(docs) AS doc_id FROM g)
+SELECT DISTINCT doc_id, other_doc_id FROM (SELECT doc_id, unnest(docs) AS other_doc_id FROM e) WHERE doc_id < other_doc_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_record_counts": p1_record_counts,
@@ -133,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_distances": p7_distances,
     "p8_packed": p8_packed,
+    "p8_cover": p8_cover,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_near": p9_near,
@@ -145,8 +183,12 @@ SQL: dict[str, str] = {
     "p1_found": _P1_KEYS
     + "SELECT first_id AS article_id, id AS copy_id FROM (SELECT id, min(id) OVER (PARTITION BY whole) AS first_id FROM k) WHERE id <> first_id",
     "p1_record_counts": _P1_KEYS + "SELECT min(id) AS article_id, count(*) AS n_copies, false AS collided FROM k GROUP BY whole",
+    "p5_found": _P5,
+    "p5_batches": f"SELECT batch_id, count(*) AS n_known FROM ({_P5}) JOIN article_score USING (article_id) GROUP BY batch_id",
     "p7_found": f"SELECT pairing, left_id, right_id FROM ({_P7}) WHERE rn = 1",
     "p7_distances": f"SELECT pairing, us // 3600000000 AS hours, count(*) AS n_pairs FROM ({_P7}) WHERE rn = 1 GROUP BY ALL",
+    "p8_cover": "SELECT doc_id, true AS whole, true AS fits FROM documents WHERE text <> ''",
     "p9_found": _P9,
     "p9_items": f"SELECT item_id, count(*) AS n_docs FROM ({_P9}) GROUP BY item_id",
+    "p10_found": _P10,
 }
