@@ -23,6 +23,9 @@ from chronoloom.session import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CAPACITY = 2048
+#: Patterns that are enumerated, about: where there could be more (large capacities), the smallest of three sizes is taken at equal steps from all
+#: sizes. That bounds the driver's memory; what fewer patterns leave over is packed all the same.
+PATTERNS = 1 << 19
 #: Ranks are given in so many parts of each size, so that a size with very many documents is shared out.
 PARTS = 256
 
@@ -50,14 +53,15 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def full_patterns(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """All ways to fill a container exactly with one, two or three of the sizes: rows a <= b <= c, 0 for none."""
+    """All ways to fill a container exactly with one, two or (but see PATTERNS) three of the sizes: rows a <= b <= c, 0 for none."""
     have = np.zeros(capacity + 1, bool)
     have[sizes] = True
     out = [np.array([[0, 0, capacity]])[: int(have[capacity])]]
     a = np.sort(sizes[sizes <= capacity // 2])
     a = a[have[capacity - a]]
     out.append(np.stack([np.zeros_like(a), a, capacity - a], 1))
-    for x in np.sort(sizes[sizes <= capacity // 3]):
+    small = np.sort(sizes[sizes <= capacity // 3])
+    for x in small[:: max(1, len(small) * len(sizes) // 4 // PATTERNS)]:
         b = np.sort(sizes[(sizes >= x) & (sizes <= (capacity - x) // 2)])
         b = b[have[capacity - x - b]]
         out.append(np.stack([np.full_like(b, x), b, capacity - x - b], 1))
