@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -50,6 +51,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path("chronoloom") / p.relative_to(root))
     sc.addPyFile(str(path))
+    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)  # the driver serves it until then
     sc._chronoloom_sent = True
     # batches of long texts are bounded by their bytes, where this Spark can do that
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None or int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > BATCH_BYTES:
@@ -59,8 +61,10 @@ def ship(spark: SparkSession) -> None:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Remove the tables that cut() has written so far: for long sessions, once the results that read them have been saved."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -69,13 +73,14 @@ def _remove_written() -> None:
             pass
 
 
-atexit.register(_remove_written)
+atexit.register(release)
 
 
 def cut(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back.
 
-    The table outlives lost executors. It is removed when the driver's Python ends.
+    The table outlives lost executors. It is removed by release(), or when the driver's Python ends. The job runs here and now: plans that read a
+    step several times would otherwise compute it as often.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronoloom-{uuid.uuid4().hex}/{name}"
