@@ -41,6 +41,28 @@ class Fatal(Exception):
 Scorer = Callable[[str], tuple[str, Mapping[str, int]]]
 
 
+def answer_of_blocks(response: Mapping) -> tuple[str, dict[str, int]]:
+    """(answer, usage) of a response whose content is a list of blocks, one of them with the parsed output."""
+    for block in response.get("content") or ():
+        if isinstance(block, Mapping) and block.get("parsed_output") is not None:
+            usage = response.get("usage") or {}
+            return json.dumps(block["parsed_output"]), {t: int(usage.get(t) or 0) for t in TOKENS}
+    raise Unreadable("no parsed output")
+
+
+def answer_of_candidates(response: Mapping) -> tuple[str, dict[str, int]]:
+    """(answer, usage) of a response with candidates, the first of which holds the answer as text; without usage it is unreadable."""
+    try:
+        text = response["candidates"][0]["content"]["parts"][0]["text"]
+        usage = response["usageMetadata"]
+        counts = {"input_tokens": int(usage.get("promptTokenCount") or 0), "output_tokens": int(usage.get("candidatesTokenCount") or 0)}
+    except (KeyError, IndexError, TypeError, AttributeError) as e:
+        raise Unreadable(f"no candidate: {e!r}") from e
+    if not isinstance(text, str) or not text.strip():
+        raise Unreadable("an empty text")
+    return text, counts
+
+
 def prompt(task: str, fields: Mapping[str, Column]) -> Column:
     """A task and the named fields, a line each; null fields are empty."""
     return F.concat_ws("\n", F.lit(task), F.lit(""), *[F.concat(F.lit(f"{n}: "), F.coalesce(c.cast("string"), F.lit(""))) for n, c in fields.items()])

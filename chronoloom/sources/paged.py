@@ -1,13 +1,17 @@
 """Sources behind requests: pages until there are no more, backfills to a first day, and what the answers of a service mean.
 
-Nothing here opens a connection: the caller gives a function that fetches one page, so that all of it runs against fakes.
+Only fetch_text opens connections, by a function that can be replaced; all else is given a function that fetches one page, so that it runs
+against fakes.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import date, timedelta
+from urllib.error import HTTPError, URLError
+from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +51,26 @@ def error_of(status: int, detail: str = "") -> SourceError:
     return kind(f"HTTP {status}: {detail}", status)
 
 
+def fetch_text(url: str, headers: dict[str, str] | None = None, timeout: float = 60.0, opener: Callable = urlopen) -> str:
+    """What a URL answers, as text; raises the error that its status stands for, or Unavailable where there is no answer."""
+    try:
+        with opener(Request(url, headers=headers or {}), timeout=timeout) as answer:
+            return answer.read().decode("utf-8", "replace")
+    except HTTPError as e:
+        raise error_of(e.code, e.read().decode("utf-8", "replace")[:200] if e.fp else str(e.reason)) from e
+    except URLError as e:
+        raise Unavailable(f"no answer: {e.reason}") from e
+
+
+def fetch_json(url: str, **kw: object) -> object:
+    """The same, read as JSON; an answer that is none is an error."""
+    text = fetch_text(url, **kw)
+    try:
+        return json.loads(text)
+    except ValueError as e:
+        raise SourceError(f"no JSON: {text[:80]!r}") from e
+
+
 def required_key(name: str, environment: dict[str, str]) -> str:
     """A key from the environment; raises if it is missing or blank."""
     if not (value := environment.get(name, "").strip()):
@@ -127,6 +151,26 @@ def backfill(fetch: Callable[[int], Sequence[dict]], day_of: Callable[[dict], da
     raise SourceError(f"{max_pages} pages do not reach {first}")
 
 
+def collect_days(source: str, fetch: Callable[[date, int, int], tuple[Sequence[dict], int | None]], first: date, last: date, page_size: int, most: int, write: Callable[[dict], None]) -> int:
+    """Collect a source day by day and write one payload {metadata, articles}; the exit status.
+
+    Where the service does not allow it, an empty payload with a note is written (0). Where a day was cut off by the cap, nothing is written and what is
+    there stays (1).
+    """
+    about: dict = {"source": source, "requested_range": {"from": first.isoformat(), "to": last.isoformat()}}
+    try:
+        days, cut_off = read_days(fetch, first, last, page_size, most)
+    except NotAllowed as e:
+        write({"metadata": about | {"collection_complete": False, "note": str(e)}, "articles": []})
+        return 0
+    if cut_off:
+        return 1
+    windows = [{"day": d.isoformat(), "result_count": len(p.records), "hit_record_cap": p.capped} for d, p in days.items()]
+    chunking = {"strategy": "utc_day", "window_days": 1, "windows": windows}
+    write({"metadata": about | {"collection_complete": True, "chunking": chunking}, "articles": [r for p in days.values() for r in p.records]})
+    return 0
+
+
 def retained(records: DataFrame, time: str, first: str, last: str, order: str, title: Sequence[str] = ("title", "headline"), stamp: Sequence[str] = ("publishedAt", "publishedDate", "date")) -> DataFrame:
     """Of collected records those from first to last (days, both included), and of equal ones (by title and time) the first by `order`."""
     inside = records.where(F.substring(F.col(time), 1, 10).try_cast("date").between(first, last))

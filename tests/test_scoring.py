@@ -180,3 +180,17 @@ def test_transcripts(spark):
     assert [(r["call_date"].month, r["pos_mean"], r["pos_frac"]) for r in got] == [(2, 0.5, 1.0), (5, 0.5, 1.0)]
     with pytest.raises(ValueError, match="b.txt"):
         scoring.score_transcripts(manifest, texts.limit(1), lambda ts: [(1.0, 0.0, 0.0)] * len(ts))
+
+
+def test_responses():
+    good = {"content": [{"type": "x"}, {"parsed_output": {"risk_score": 0.5}}], "usage": {"input_tokens": 3, "cache_read_input_tokens": None}}
+    text, usage = scoring.answer_of_blocks(good)
+    assert json.loads(text) == {"risk_score": 0.5} and usage["input_tokens"] == 3 and usage["cache_read_input_tokens"] == 0
+    for bad in ({}, {"content": []}, {"content": [{"parsed_output": None}]}):
+        with pytest.raises(scoring.Unreadable):
+            scoring.answer_of_blocks(bad)
+    whole = {"candidates": [{"content": {"parts": [{"text": "{}"}]}}], "usageMetadata": {"promptTokenCount": 200, "candidatesTokenCount": 40}}
+    assert scoring.answer_of_candidates(whole) == ("{}", {"input_tokens": 200, "output_tokens": 40})
+    for bad in ({}, {"candidates": []}, whole | {"usageMetadata": None}, whole | {"candidates": [{"content": {"parts": [{"text": " "}]}}]}, {"candidates": [5]}):
+        with pytest.raises(scoring.Unreadable):
+            scoring.answer_of_candidates(bad)

@@ -209,3 +209,32 @@ def test_reports(spark, rows):
     t = spark.createDataFrame([("p", 0.0085, T0), ("q", -0.17, None), ("r", None, None)], "m string, d double, t timestamp_ntz")
     got = t.select(report.delta_sentence(F.col("m"), F.col("d"), "base").alias("s"), report.share_text(F.col("d")).alias("p"), report.day_text(F.col("t")).alias("t"), report.number_text(F.col("d")).alias("n")).collect()
     assert [tuple(r) for r in got] == [("p raises MAE by 0.85 % against base", "+0.85%", "2024-01-01", "0.008500"), ("q lowers MAE by 17.00 % against base", "-17.00%", None, "-0.170000"), (None, None, None, "nan")]
+
+
+def test_fetching_and_collecting():
+    import io
+    from contextlib import closing
+    from urllib.error import HTTPError, URLError
+
+    def opener(request, timeout):
+        url = request.full_url
+        if "busy" in url:
+            raise HTTPError(url, 429, "slow down", {}, io.BytesIO(b"later"))
+        if "gone" in url:
+            raise URLError("no route")
+        return closing(io.BytesIO(b'{"a": "\xc3\xa4"}' if "json" in url else b"<p>"))
+
+    assert paged.fetch_json("http://h/json", opener=opener) == {"a": "ä"} and paged.fetch_text("http://h/page", opener=opener) == "<p>"
+    for url, kind in (("busy", paged.Busy), ("gone", paged.Unavailable), ("page", paged.SourceError)):
+        with pytest.raises(kind):
+            paged.fetch_json(f"http://h/{url}", opener=opener)
+    wrote: list[dict] = []
+    days = (date(2024, 1, 1), date(2024, 1, 2))
+    assert paged.collect_days("A", lambda day, page, size: ([{"d": day.day}], 1), *days, 10, 10, wrote.append) == 0
+    assert [a["d"] for a in wrote[0]["articles"]] == [1, 2] and [w["result_count"] for w in wrote[0]["metadata"]["chunking"]["windows"]] == [1, 1]
+    assert paged.collect_days("A", lambda day, page, size: ([{}] * size, 99), *days, 2, 2, wrote.append) == 1 and len(wrote) == 1
+
+    def refused(day, page, size):
+        raise paged.error_of(402)
+
+    assert paged.collect_days("A", refused, *days, 2, 2, wrote.append) == 0 and wrote[1]["articles"] == [] and "402" in wrote[1]["metadata"]["note"]
