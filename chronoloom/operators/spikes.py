@@ -47,12 +47,12 @@ def _series(bars: DataFrame, by: str, time: str, readings: tuple[Reading, ...])
     """(by, time, field, v, rn, rp): the positive readings, one per source, field and time; rn numbers all times of a
     source from 1, rp the positive readings of a field."""
     fields = range(len(readings))
-    largest = [F.max(F.when(~F.isnan(r.field), F.col(r.field)).cast("double")).alias(f"v{i}") for i, r in enumerate(readings)]
+    largest = [F.max(F.when((F.col(r.field) > 0) & ~F.isnan(r.field), F.col(r.field)).cast("double")).alias(f"v{i}") for i, r in enumerate(readings)]
     once = bars.na.drop(subset=[by, time]).select(F.col(by).alias("by"), F.col(time).alias("time"), *[r.field for r in readings]).groupBy("by", "time").agg(*largest)
-    once = once.withColumn("block", F.floor(F.unix_date(F.col("time").cast("date")) / BLOCK_DAYS))
+    # the filters that the join below would add to one side only are given here, and both sides use all columns, so that they share one exchange
+    once = once.withColumn("block", F.floor(F.unix_date(F.col("time").cast("date")) / BLOCK_DAYS)).where("by is not null and block is not null")
     w = Window.partitionBy("by", "block").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    positive = lambda i: F.when(F.col(f"v{i}") > 0, 1).otherwise(0).cast("bigint")
-    inner = once.withColumns({"rn": F.count(F.lit(1)).over(w)} | {f"rp{i}": F.sum(positive(i)).over(w) for i in fields})
+    inner = once.withColumns({"rn": F.count(F.lit(1)).over(w)} | {f"rp{i}": F.count(f"v{i}").over(w) for i in fields})
     counts = ["rn", *[f"rp{i}" for i in fields]]
     # a block's counts are its last row's, which come out of the same exchange; a row per block carries the earlier ones' on
     w_carry = Window.partitionBy("by").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
