@@ -28,12 +28,16 @@ HITS = 1 << 21
 BATCH_BYTES = 4 << 20
 _BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS = re.compile(r"[\W_]+")
+_ODD = re.compile(r"[^\w\x00-\x7f]+")
+_ASCII = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def plain(text: str) -> bytes:
     """The words of a text, in lower case, with a space before, between and after them."""
-    return f" {_WORDS.sub(' ', text.lower()).strip()} ".encode()
+    t = text.lower()
+    if not t.isascii():
+        t = _ODD.sub(" ", t)  # what is no word is rare there; within ASCII a table of bytes tells
+    return b" " + b" ".join(t.encode().translate(_ASCII).split()) + b" "
 
 
 def _slot(grams: np.ndarray) -> np.ndarray:
@@ -132,14 +136,23 @@ def _banded(where: np.ndarray, gram: np.ndarray, doc: np.ndarray, n: np.ndarray,
     width = 2 * edits + 1
     found = [np.zeros((0, 3), np.int64)]
     for shift in sorted({0, edits}):  # bands overlap by the edits, so that each region lies within one of them
-        key = np.stack([doc, item, (diagonal + shift) // width])
-        if key.shape[1]:
-            order = np.lexsort(key[::-1])
-            key = key[:, order]
-            new = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-            hits = np.diff(np.r_[new, key.shape[1]])
-            met = new[hits >= items.need[key[1, new]]]
-            found.append(np.stack([key[0, met], key[1, met], key[2, met] * width - shift], 1))
+        if not len(doc):
+            continue
+        band = (diagonal + shift) // width
+        low, spread = int(band.min()), int(band.max() - band.min()) + 1
+        # document, item and band in one number, as that sorts fastest; where they don't fit, documents and items are numbered anew first
+        pair = doc * len(items.ids) + item
+        if (int(pair.max()) + 1) * spread >= 1 << 62:
+            names, pair = np.unique(pair, return_inverse=True)
+        else:
+            names = None
+        key = np.sort(pair * spread + (band - low))
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        hits = np.diff(np.r_[new, len(key)])
+        at, band = np.divmod(key[new], spread)
+        at = at if names is None else names[at]
+        met = hits >= items.need[at % len(items.ids)]
+        found.append(np.stack([at[met] // len(items.ids), at[met] % len(items.ids), (band[met] + low) * width - shift], 1))
     return np.concatenate(found)
 
 
