@@ -178,14 +178,17 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     items = items.withColumn("part", part)
     counts = items.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_full").alias("n_full"))
     histogram = np.zeros(capacity + 1, np.int64)
-    for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect():
+    full_containers = np.zeros(capacity + 2, np.int64)
+    for r in counts.groupBy("size").agg(F.sum("n").alias("n"), F.sum("n_full").alias("n_full")).collect():  # a row per size
         histogram[r["size"]] = r["n"]
+        full_containers[r["size"] + 1] = r["n_full"]
+    # the full containers of smaller sizes come first
+    ahead = sizes.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(np.cumsum(full_containers)[: capacity + 1])], "size int, full_ahead bigint")
     rows = plan(histogram, capacity)
     n_packed = max([c + t for *_, c, t in rows], default=0)
 
     before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
-    at = counts.withColumns({"n_before": F.coalesce(F.sum("n").over(before), F.lit(0)), "full_before": F.coalesce(F.sum("n_full").over(every), F.lit(0))})
+    at = counts.join(ahead, "size").withColumns({"n_before": F.coalesce(F.sum("n").over(before), F.lit(0)), "full_before": F.col("full_ahead") + F.coalesce(F.sum("n_full").over(before), F.lit(0))})
     w = Window.partitionBy("size", "part").orderBy("doc_id")
     ranked = items.join(at.select("size", "part", "n_before", "full_before"), ["size", "part"])
     ranked = ranked.select(
