@@ -1,7 +1,8 @@
+import math
+import statistics
 from datetime import datetime, timedelta
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,34 +22,54 @@ def walk(n, seed=0):
     return (100 * np.exp(np.cumsum(rng.normal(0, 0.02, n)))).tolist(), np.exp(rng.normal(10, 0.3, n)).tolist()
 
 
-def by_pandas(close, volume):
-    p = pd.DataFrame({"close": close, "volume": volume})
-    r = np.log(p.close).diff()
-    rv = np.sqrt((r**2).rolling(5, min_periods=4).sum())
-    move = p.close.diff()
-    g, l_ = (x.ewm(alpha=1 / 14, adjust=False, min_periods=14).mean() for x in (move.clip(lower=0), -move.clip(upper=0)))
-    rsi = (100 - 100 / (1 + g / l_)).where(l_ != 0, 100.0).where((l_ != 0) | (g != 0), 50.0).where(g.notna())
-    lv = np.log(p.volume)
-    sd = lv.rolling(21).std(ddof=0)
-    out = pd.DataFrame({"returns": r, "realized_vol_5d": rv, "rv5_strict": np.sqrt((r**2).rolling(5).sum()), "ann_vol_21": r.rolling(21).std() * np.sqrt(252)})
-    for k in (1, 5, 21):
-        out[f"ret_lag_{k}"] = r.shift(k)
-    for k in (5, 21):
-        out[f"vol_lag_{k}"] = rv.shift(k)
-    out["rsi_14"], out["vol_zscore_21"] = rsi.shift(1), ((lv - lv.rolling(21).mean()) / sd).shift(1)
-    out["rv_d"], out["target_rv5"] = rv.shift(1), rv.shift(-5)
-    out["rv_w"], out["rv_m"] = out.rv_d.rolling(5).mean(), out.rv_d.rolling(22).mean()
-    return out
+def defined(close, volume):
+    """Each feature of each bar from its definition, bar by bar."""
+    n = len(close)
+    r = [None] + [math.log(close[i] / close[i - 1]) for i in range(1, n)]
+
+    def seen(x, i, k):
+        """The known values among the k bars up to bar i."""
+        return [v for v in x[max(0, i - k + 1) : i + 1] if v is not None]
+
+    def root(i, least):
+        v = seen(r, i, 5)
+        return math.sqrt(sum(x * x for x in v)) if len(v) >= least else None
+
+    def before(x, k):
+        return [x[i - k] if 0 <= i - k < n else None for i in range(n)]
+
+    def mean(x, i, k):
+        v = seen(x, i, k)
+        return sum(v) / k if len(v) == k else None
+
+    up = down = None
+    strength = [None] * n
+    for i in range(1, n):
+        move = close[i] - close[i - 1]
+        gain, loss = max(move, 0.0), max(-move, 0.0)
+        up, down = (gain, loss) if up is None else (up + (gain - up) / 14, down + (loss - down) / 14)
+        if i >= 14:
+            strength[i] = (100.0 * up / (up + down)) if up + down > 0 else 50.0
+    z = [None] * n
+    for i in range(20, n):
+        logs = [math.log(v) for v in volume[i - 20 : i + 1]]
+        z[i] = (logs[-1] - statistics.fmean(logs)) / statistics.pstdev(logs)
+    rv = [root(i, 4) for i in range(n)]
+    out = {"returns": r, "realized_vol_5d": rv, "rv5_strict": [root(i, 5) for i in range(n)], "rsi_14": before(strength, 1), "vol_zscore_21": before(z, 1), "target_rv5": before(rv, -5), "rv_d": before(rv, 1)}
+    out["ann_vol_21"] = [statistics.stdev(v) * math.sqrt(252) if len(v := seen(r, i, 21)) == 21 else None for i in range(n)]
+    out |= {f"ret_lag_{k}": before(r, k) for k in (1, 5, 21)} | {f"vol_lag_{k}": before(rv, k) for k in (5, 21)}
+    out |= {f"rv_{name}": [mean(out["rv_d"], i, k) for i in range(n)] for name, k in (("w", 5), ("m", 22))}
+    return {c: np.array([np.nan if v is None else v for v in x]) for c, x in out.items()}
 
 
 @pytest.mark.parametrize("chunk", [4096, 50])
-def test_features_match_pandas(spark, monkeypatch, chunk):
+def test_features_match_their_definitions(spark, monkeypatch, chunk):
     monkeypatch.setattr(features, "CHUNK", chunk)
     if chunk == 50:  # the overlap must stay below a chunk's neighbours; the average then reaches 49 bars back
         monkeypatch.setattr(features, "BEHIND", 49)
     close, volume = walk(180)
     got = features.bar_features(frame(spark, close, volume)).orderBy("date").toPandas()
-    want = by_pandas(close, volume)
+    want = defined(close, volume)
     for c in want:
         if chunk == 50 and c == "rsi_14":
             continue
@@ -60,7 +81,7 @@ def test_rsi_over_chunk_borders(spark, monkeypatch):
     monkeypatch.setattr(features, "CHUNK", 700)
     close, volume = walk(1500, 3)
     got = features.bar_features(frame(spark, close, volume)).orderBy("date").toPandas()
-    np.testing.assert_allclose(got.rsi_14.astype(float), by_pandas(close, volume).rsi_14, rtol=1e-9)
+    np.testing.assert_allclose(got.rsi_14.astype(float), defined(close, volume)["rsi_14"], rtol=1e-9)
     assert len(got) == 1500
 
 
