@@ -146,7 +146,7 @@ a AS (SELECT article_id, batch_id, ms, array_to_string(list_transform([regexp_re
 SELECT min(k.article_id) AS kept_id, a.article_id FROM a JOIN a k ON k.address = a.address AND k.batch_id < a.batch_id AND abs(k.ms - a.ms) <= 600000 WHERE a.batch_id >= 1 GROUP BY a.article_id"""
 # a stretch of 300 characters holds one of the blocks of 150 that a text is made of; windows are compared for the documents with such a block only.
 # Texts as lists of characters, so that a window costs its own length, wherever it begins
-_P10 = """
+_P10_WINDOWS = """
 WITH t AS (SELECT doc_id, text FROM documents WHERE length(text) >= 300),
 b AS (SELECT doc_id, substr(text, 150 * unnest(range(0, length(text) // 150)) + 1, 150) AS block FROM t),
 o AS (SELECT block, min(doc_id) AS lo, max(doc_id) AS hi FROM b GROUP BY block),
@@ -154,11 +154,18 @@ x AS (SELECT DISTINCT t.doc_id AS a, o.block FROM o JOIN t ON contains(t.text, o
 near AS (SELECT a AS doc_id FROM x UNION SELECT b.doc_id FROM b WHERE block IN (SELECT block FROM x)),
 d AS (SELECT doc_id, string_split(text, '') AS c FROM t SEMI JOIN near USING (doc_id)),
 k AS (SELECT doc_id, c, unnest(range(1, len(c) - 298)) AS k FROM d),
-w AS (SELECT DISTINCT doc_id, md5_number(array_to_string(c[k:k + 299], '')) AS h FROM k),
-r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), m AS (SELECT doc_id, h FROM w JOIN r USING (h)),
-s AS (SELECT h, list(doc_id ORDER BY doc_id) AS docs FROM m GROUP BY h), g AS (SELECT DISTINCT docs FROM s),
-e AS (SELECT docs, unnest(docs) AS doc_id FROM g)
+w AS (SELECT doc_id, k, md5_number(array_to_string(c[k:k + 299], '')) AS h FROM k),
+r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), m AS (SELECT doc_id, k, h FROM w JOIN r USING (h)),
+s AS (SELECT h, list(DISTINCT doc_id ORDER BY doc_id) AS docs FROM m GROUP BY h), g AS (SELECT DISTINCT docs FROM s),
+e AS (SELECT docs, unnest(docs) AS doc_id FROM g)"""
+_P10 = f"""{_P10_WINDOWS}
 SELECT DISTINCT doc_id, other_doc_id FROM (SELECT doc_id, unnest(docs) AS other_doc_id FROM e) WHERE doc_id < other_doc_id"""
+_P10_SHARE = f"""{_P10_WINDOWS},
+cls AS (SELECT doc_id, length(text) AS n_chars, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n_copies FROM documents WHERE text IS NOT NULL),
+links AS (SELECT y.class_id, count(DISTINCT z.class_id) AS n_links FROM (SELECT doc_id, unnest(docs) AS other FROM e) p JOIN cls y ON y.doc_id = p.doc_id JOIN cls z ON z.doc_id = p.other WHERE y.class_id <> z.class_id GROUP BY y.class_id),
+part AS (SELECT doc_id, CAST(sum(least(300, coalesce(after - k, 300))) AS BIGINT) AS shared FROM (SELECT doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS after FROM m) GROUP BY doc_id)
+SELECT doc_id, class_id, n_chars, n_copies, coalesce(n_links, 0) AS n_links, coalesce(shared, 0) AS shared_chars, CASE WHEN n_chars > 0 THEN coalesce(shared, 0) / n_chars ELSE 0.0 END AS shared_share
+FROM cls LEFT JOIN links USING (class_id) LEFT JOIN part USING (doc_id)"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -191,4 +198,5 @@ SQL: dict[str, str] = {
     "p9_found": _P9,
     "p9_items": f"SELECT item_id, count(*) AS n_docs FROM ({_P9}) GROUP BY item_id",
     "p10_found": _P10,
+    "p10_shared_share": _P10_SHARE,
 }
