@@ -17,7 +17,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     """The left rows, each with `out`: a struct of the right row nearest before (or after) it in time.
 
     strict: a right row of the same time does not count. forward: the nearest after. Of right rows of the
-    same time the greatest by precedence counts (numbers; with forward as well). All left rows and columns
+    same time the greatest by precedence counts (with forward as well). All left rows and columns
     stay; `out` is null where there is no match and for rows without entity or time. `out` has all the
     right's columns, so names cannot clash. Nulls in the right row's other columns are carried as they are.
     """
@@ -25,7 +25,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     value = F.struct(*[F.col(c) for c in right.columns])
     l_side, r_side = (0, 1) if strict else (1, 0)
     lefts = left.select(F.struct(*left.columns).alias("__row"), *by, (micros(F.col(left_on)) * sign).alias("__t"))
-    rights = right.na.drop(subset=[*by, right_on]).select(value.alias("__v"), *by, (micros(F.col(right_on)) * sign).alias("__t"), *[F.col(p).cast("double").alias(f"__p{i}") for i, p in enumerate(precedence)])
+    rights = right.na.drop(subset=[*by, right_on]).select(value.alias("__v"), *by, (micros(F.col(right_on)) * sign).alias("__t"), *[F.col(p).alias(f"__p{i}") for i, p in enumerate(precedence)])
     rights = rights.withColumn("__side", F.lit(r_side))
     whole = lefts.na.drop(subset=[*by, "__t"]).withColumn("__side", F.lit(l_side))
     both = whole.unionByName(rights, allowMissingColumns=True).withColumn("__block", F.floor(F.col("__t") / (BLOCK_DAYS * DAY_US)))

@@ -12,6 +12,8 @@ from chronoloom.operators.blocks import blocked_scan
 # The topic tags, in their canonical order.
 TAGS = ("earnings", "guidance", "ai_demand", "datacenter", "china", "supply_chain", "competition", "regulation", "macro", "other")
 KEY = ("url", "title", "published_at")
+#: White space of any script.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def normalise_tags(tags: Column) -> Column:
@@ -19,9 +21,9 @@ def normalise_tags(tags: Column) -> Column:
     return F.filter(F.array(*[F.lit(t) for t in TAGS]), lambda t: F.array_contains(tags, t))
 
 
-def first_text(*values: Column) -> Column:
-    """The first value that is neither null nor empty, trimmed; else an empty text."""
-    return F.trim(F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit("")))
+def first_text(*values: Column, strip: str = WHITE) -> Column:
+    """The first value that is neither null nor empty, without white space (or the characters to strip) around it; else an empty text."""
+    return F.trim(F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit("")), F.lit(strip))
 
 
 def daily_news(articles: DataFrame, day: Column, by: Sequence[str] = ("ticker",)) -> DataFrame:

@@ -27,12 +27,12 @@ def day_number(time: Column) -> Column:
     return F.unix_date(time.cast("date"))
 
 
-def trailing_totals(rows: DataFrame, by: Sequence[str], values: Sequence[str], periods: Sequence[int] = (7, 30), precedence: Sequence[str] = ()) -> DataFrame:
+def trailing_totals(rows: DataFrame, by: Sequence[str], values: Sequence[str], periods: Sequence[int] = (7, 30), precedence: Sequence[str] = (), part: str | None = None) -> DataFrame:
     """For each entity and each day from its first to its last: totals, counts and averages.
 
     rows: by, day (days since 1970), the values (numbers) and the columns of precedence. Of several rows of an entity
-    and day, each value is that of the row that is greatest by precedence among those of its `part` (a column, if
-    there is one: a row speaks for the value named there, without one for all), then the greatest value; a null in
+    and day, each value is that of the row that is greatest by precedence (with `part`, a column: among the rows that name the value
+    there), then the greatest value; a null in
     precedence is least, and a null in the greatest row stays null. Columns: by, day and for each value v and period p
     v_sum_p (0 if nothing fell in it), v_days_p (days with a value), v_avg_p (sum over p, quiet days as 0) and v_mean_p
     (sum over v_days_p, null if that is 0). Amounts are exact to 18 decimal places and must be below 1e17 in size;
@@ -41,11 +41,13 @@ def trailing_totals(rows: DataFrame, by: Sequence[str], values: Sequence[str], p
     block = max(BLOCK_DAYS, *periods)
     whole = {v: isinstance(rows.schema[v].dataType, IntegralType) for v in values}
     amount = lambda v: F.col(v).cast("bigint") if whole[v] else F.when(F.abs(F.col(v)) < 1e17, F.col(v)).try_cast(EXACT)
-    speaks = lambda v: F.col("part") == v if "part" in rows.columns else F.lit(True)
-    rows = rows.na.drop(subset=[*by, "day"])
+    speaks = lambda v: F.col(part) == v if part else F.lit(True)
     told = [F.when(speaks(v), F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(precedence)], amount(v).alias("v"))).alias(f"r{i}") for i, v in enumerate(values)]
+    # the caller's names could clash with those in here
+    names, by = list(by), [f"__by{i}" for i in range(len(by))]
+    rows = rows.select(*[F.col(c).alias(b) for c, b in zip(names, by, strict=True)], F.col("day").cast("int").alias("day"), *told).na.drop(subset=[*by, "day"])
     # one row per entity and day before the shuffle that brings blocks together: a day of very many rows costs a row per task
-    daily = rows.select(*by, F.col("day").cast("int").alias("day"), *told).groupBy(*by, "day").agg(*[F.max(f"r{i}")["v"].alias(f"v{i}") for i in range(len(values))])
+    daily = rows.groupBy(*by, "day").agg(*[F.max(f"r{i}")["v"].alias(f"v{i}") for i in range(len(values))])
     at = F.floor(F.col("day") / block)
     guest = F.floor((F.col("day") + max(periods) - 1) / block)  # the block that the longest period reaches
     each = daily.select(*by, F.explode(F.array_distinct(F.array(at, guest))).alias("block"), F.array("day").alias("days"), F.lit(False).alias("own"), *[f"v{i}" for i in range(len(values))])
@@ -62,16 +64,16 @@ def trailing_totals(rows: DataFrame, by: Sequence[str], values: Sequence[str], p
     deltas = [F.struct(F.greatest("day", first).cast("int").alias("day"), F.col("own"), *_moves(values, zero, periods, lambda p: F.col("day") + p > first, 1))]
     deltas += [F.struct((F.col("day") + p).cast("int").alias("day"), F.lit(False).alias("own"), *_moves(values, zero, periods, lambda q, p=p: (F.col("day") + p > first) & (F.col("day") + p < end) if q == p else None, -1)) for p in periods]
     moved = known.select(*by, "block", F.inline(F.array(*deltas)))
-    names = [f"{k}{i}_{p}" for i in range(len(values)) for p in periods for k in "sn"]
-    moved = moved.groupBy(*by, "block", "day").agg(F.max("own").alias("own"), *[F.sum(n).cast(moved.schema[n].dataType).alias(n) for n in names])
+    sums = [f"{k}{i}_{p}" for i in range(len(values)) for p in periods for k in "sn"]
+    moved = moved.groupBy(*by, "block", "day").agg(F.max("own").alias("own"), *[F.sum(n).cast(moved.schema[n].dataType).alias(n) for n in sums])
     w = Window.partitionBy(*by, "block").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    run = moved.select(*by, "day", "own", *[F.sum(n).over(w).alias(n) for n in names]).where("own")
+    run = moved.select(*by, "day", "own", *[F.sum(n).over(w).alias(n) for n in sums]).where("own")
     out = []
     for i, v in enumerate(values):
         for p in periods:
             total, seen = F.col(f"s{i}_{p}").cast("double"), F.col(f"n{i}_{p}").cast("bigint")
             out += [total.alias(f"{v}_sum_{p}"), seen.alias(f"{v}_days_{p}"), (total / p).alias(f"{v}_avg_{p}"), F.when(seen > 0, total / seen).alias(f"{v}_mean_{p}")]
-    return run.select(*by, "day", *out)
+    return run.select(*[F.col(b).alias(c) for c, b in zip(names, by, strict=True)], "day", *out)
 
 
 def _moves(values: Sequence[str], zero: list[Column], periods: Sequence[int], when, sign: int) -> list[Column]:  # noqa: ANN001
@@ -108,5 +110,5 @@ def ticker_totals(news: DataFrame, bars: DataFrame, features: DataFrame) -> Data
     for df, time, value, loaded, key in sources:
         one = df.select("ticker", day_number(F.col(time)).alias("day"), F.lit(value).alias("part"), loaded.alias("loaded_at"), key.alias("key"), *[(F.col(v) if v == value else none).cast(t).alias(v) for v, t in kinds.items()])
         rows = one if rows is None else rows.unionByName(one)
-    out = trailing_totals(rows, ["ticker"], list(kinds), precedence=["loaded_at", "key"])
+    out = trailing_totals(rows, ["ticker"], list(kinds), precedence=["loaded_at", "key"], part="part")
     return out.withColumn("day", F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd"))

@@ -531,10 +531,24 @@ _DEDUP_KEY = "trim(coalesce(nullif(title, ''), nullif(source_name, ''), '')), tr
 @query(f"SELECT article_id, url FROM (SELECT *, row_number() OVER (PARTITION BY {_DEDUP_KEY} ORDER BY article_id) AS k FROM article_score) WHERE k = 1")
 def dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "article_score").select("article_id", "url", "title", "source_name", "published_at", "as_of")
-    key = [news.first_text(F.col("title"), F.col("source_name")), news.first_text(F.col("published_at"), F.col("as_of"))]
+    return _first_articles(a, " ")
+
+
+def _first_articles(a: DataFrame, strip: str) -> DataFrame:
+    key = [news.first_text(F.col("title"), F.col("source_name"), strip=strip), news.first_text(F.col("published_at"), F.col("as_of"), strip=strip)]
     return news.first_wins(a, key, "article_id").select("article_id", "url")
 
 
+def _stripped(*values: str) -> str:
+    return f"trim(coalesce({', '.join(f"nullif({v}, '')" for v in values)}, ''), {' || '.join(f'chr({ord(c)})' for c in news.WHITE)})"
+
+
+@query(f"SELECT article_id, url FROM (SELECT *, row_number() OVER (PARTITION BY {_stripped('title', 'source_name')}, {_stripped('published_at', 'as_of')} ORDER BY article_id) AS k FROM article_score) WHERE k = 1")
+def dedup_stripped(spark: SparkSession, d: str) -> DataFrame:
+    """The same with all white space around the keys left out, not spaces alone."""
+    return _first_articles(table(spark, d, "article_score").select("article_id", "url", "title", "source_name", "published_at", "as_of"), news.WHITE)
+
+
 @query("""SELECT url, title, published_at, arg_max(sentiment_score, article_id) FILTER (true) AS sentiment_score, max(article_id) AS last_id, min(article_id) AS first_seen
 FROM (SELECT url, title, published_at, article_id, coalesce(sentiment_score, -9) AS sentiment_score FROM article_score) GROUP BY ALL""")
 def checkpoint_last_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -740,6 +754,35 @@ def daily_news_contract(spark: SparkSession, d: str) -> DataFrame:
     return contracts.daily_news_violations(table(spark, d, "news_scores"), ["ticker"])
 
 
+# reports and runs
+
+
+@query(f"""WITH o AS (SELECT unnest({_TAGS_SQL}) AS tag, unnest(range(1, {len(news.TAGS) + 1})) AS position), t AS (SELECT batch_id, unnest(list_distinct(topic_tags)) AS tag FROM article_score),
+n AS (SELECT tag, count(*) AS n FROM t WHERE batch_id = 1 GROUP BY tag HAVING count(*) % 2 = 0), b AS (SELECT count(*) AS n FROM article_score WHERE batch_id = 1)
+SELECT tag, n.n AS n_articles, round(n.n / b.n, 6) AS share, CASE WHEN n.n IS NULL THEN 'nan' ELSE printf('%.2f', CAST(n.n AS DOUBLE)) END AS n_text, CAST(position AS INTEGER) AS position FROM o LEFT JOIN n USING (tag), b""")
+def tag_table(spark: SparkSession, d: str) -> DataFrame:
+    """Articles of the first later batch by topic, in the fixed order of topics; topics without a row (here: those with an odd number) stay, with nulls."""
+    a = table(spark, d, "article_score").where("batch_id = 1")
+    counts = a.select(F.explode(F.array_distinct("topic_tags")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n_articles")).where("n_articles % 2 = 0")
+    t = report.in_category_order(counts, "tag", news.TAGS)
+    return t.select("tag", "n_articles", F.round(F.col("n_articles") / F.lit(a.count()), 6).alias("share"), report.number_text(F.col("n_articles"), 2).alias("n_text"), "position")
+
+
+@query(f"""SELECT article_id, {_stripped("source_name", "feed")} AS source_name, {_stripped("title")} AS title, {_stripped("as_of")} AS body, {_stripped("url")} AS url, {_stripped("published_at")} AS published_at FROM article_score""")
+def common_articles(spark: SparkSession, d: str) -> DataFrame:
+    """The articles, taken as a vendor's records, in the common form."""
+    raw = table(spark, d, "article_score").select("article_id", F.col("source_name").alias("publisher"), F.col("feed").alias("site"), "title", F.col("as_of").alias("text"), "url", F.col("published_at").alias("publishedDate"))
+    return raw.select("article_id", *[c.alias(n) for n, c in news.common_article("B").items()])
+
+
+@query("""WITH k AS (SELECT url, title, published_at, min(article_id) AS article_id FROM article_score WHERE batch_id >= 1 GROUP BY ALL)
+SELECT article_id FROM k WHERE NOT EXISTS (SELECT 1 FROM article_score b WHERE b.batch_id = 0 AND b.url IS NOT DISTINCT FROM k.url AND b.title IS NOT DISTINCT FROM k.title AND b.published_at IS NOT DISTINCT FROM k.published_at) ORDER BY article_id LIMIT 500""")
+def next_articles(spark: SparkSession, d: str) -> DataFrame:
+    """The next 500 articles, in order of arrival, whose key the first batch has not brought: what a run with that limit would score."""
+    a = table(spark, d, "article_score").select("article_id", "batch_id", *news.KEY)
+    return scoring.next_pending(a.where("batch_id >= 1"), a.where("batch_id = 0"), 500, "article_id").select("article_id")
+
+
 # more statistics
 
 

@@ -32,6 +32,17 @@ def test_quiet_and_recent(spark, rows):
     assert rolling.quiet_and_recent(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_names_precedence_and_exactness(spark):
+    schema = "day int, block string, part string, own double, v0 bigint, rank int"
+    data = [(0, "A", "x", 0.1, 5, 1), (0, "A", "x", 9.0, 7, 0), (1, "A", None, 0.2, None, 1), (2, "A", "y", float("nan"), 1, 1), (3, "A", "y", 1e18, 1, 1), (4, "A", "y", 0.30000000000000004, 1, None), (4, "A", "y", 0.3, 2, 0)]
+    df = spark.createDataFrame(data, schema)
+    got = {r["day"]: r for r in rolling.trailing_totals(df, ["block"], ["own", "v0"], (2, 400), precedence=["rank"]).collect()}
+    assert [got[d]["own_sum_2"] for d in range(5)] == [0.1, 0.3, 0.2, 0.0, 0.3] and got[4]["own_sum_400"] == 0.6
+    assert [got[d]["v0_sum_400"] for d in range(5)] == [5, 5, 6, 7, 9] and got[3]["own_days_2"] == 0 and got[3]["own_mean_2"] is None
+    spoken = rolling.trailing_totals(df.withColumn("part", F.lit("v0")), ["block"], ["own", "v0"], (7,), precedence=["rank"], part="part").where("day = 4").first()
+    assert spoken["own_sum_7"] == 0 and spoken["v0_sum_7"] == 9
+
+
 def test_blocked_scans(spark):
     data = [("A", i // 4, i, (i * 7) % 5 if i % 3 else None) for i in range(23)] + [(None, 0, 1, 1), ("B", 9, 1, None)]
     df = spark.createDataFrame(data, "k string, b int, o int, v int")
