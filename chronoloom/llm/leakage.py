@@ -60,7 +60,7 @@ class Items:
     ends: list[np.ndarray]
 
     @staticmethod
-    def of(rows: list[tuple[int, bytes]], words: int, edits: int) -> Items | None:
+    def of(rows: list[tuple[int, bytes]], words: int, edits: int, exact: bool = False) -> Items | None:
         ids, parts, need, starts, spaces, at = [], [], [], [], [], 0
         for key, text in rows:
             ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
@@ -68,7 +68,7 @@ class Items:
                 continue
             # the shortest passage of so many words bounds the hits that a leak must give
             shortest = int((ends[words:] - ends[:-words]).min()) + 1
-            if (shortest - edits - Q + 1) // Q - edits < 1 and edits:
+            if (shortest - edits - Q + 1) // Q - edits < 1 and edits and not exact:
                 raise ValueError(f"item {key} has a passage of {words} words in {shortest} bytes: {edits} edits could spoil all of its {Q}-grams")
             need.append(max(1, (shortest - edits - Q + 1) // Q - edits))
             ids.append(key)
@@ -220,7 +220,7 @@ def _near(rows: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndar
     return out
 
 
-def _batch(keys: list[int], texts: list[bytes], items: Items, words: int, edits: int) -> Iterator[tuple[int, int]]:
+def _batch(keys: list[int], texts: list[bytes], items: Items, words: int, edits: int, exact: bool = False) -> Iterator[tuple[int, int]]:
     padded = [t + b"\0" * (2 * Q - len(t) % Q) for t in texts]
     starts = np.cumsum([0] + [len(t) for t in padded[:-1]])
     data = np.frombuffer(b"".join(padded), np.uint8)
@@ -231,35 +231,37 @@ def _batch(keys: list[int], texts: list[bytes], items: Items, words: int, edits:
         for d, i, band in rows.tolist():
             if (d, i) in seen:
                 continue
-            if not edits:
+            if exact or not edits:
                 lo = int(items.starts[i])
                 hi = int(items.starts[i + 1]) if i + 1 < len(items.starts) else len(items.data)
-                if not exact_run(data[int(starts[d]) : int(starts[d]) + len(texts[d])], items.data[lo : hi - Q], band, words):
+                doc, item = data[int(starts[d]) : int(starts[d]) + len(texts[d])], items.data[lo : hi - Q]
+                if not any(exact_run(doc, item, g, words) for g in range(band, band + 2 * edits + 1)):
                     continue
             seen.add((d, i))
             yield keys[d], int(items.ids[i])
 
 
-def leaked_pairs(documents: DataFrame, items: DataFrame, words: int = 13, edits: int = 0) -> DataFrame:
+def leaked_pairs(documents: DataFrame, items: DataFrame, words: int = 13, edits: int = 0, exact: bool = False) -> DataFrame:
     """(doc_id, item_id): documents that hold `words` words in a row of an item, each pair once.
 
     documents: doc_id, text; items: item_id, text. Words are runs of letters and digits, case aside; all
     other characters only separate. edits: up to so many edits of bytes (of a character in ASCII: one) in the passage count too;
-    raises if an item's passage is too short for the q-gram lemma to hold at that budget.
+    raises if an item's passage is too short for the q-gram lemma to hold at that budget. exact: of what is found within the budget, only passages
+    that agree word for word (these have all their q-grams, so no passage is too short).
     Null and blank texts and items of fewer words hold nothing. Items come to the driver in blocks of at
     most BLOCK_BYTES, one at a time; documents are never shuffled, are read once whatever the items, and whole.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     rows = items.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator()
-    blocks = [spark.sparkContext.broadcast(index) for block in _blocks(rows) if (index := Items.of(block, words, edits))]
+    blocks = [spark.sparkContext.broadcast(index) for block in _blocks(rows) if (index := Items.of(block, words, edits, exact))]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found: list[tuple[int, int]] = []
             for keys, texts in _parts(pdf, BATCH_BYTES if len(blocks) == 1 else 8 * BATCH_BYTES):
                 for block in blocks:
-                    found += _batch(keys, texts, block.value, words, edits)
+                    found += _batch(keys, texts, block.value, words, edits, exact)
                     if len(blocks) > 1:
                         vars(block).pop("_value", None)  # a task holds one block at a time
             yield pd.DataFrame(found, columns=["doc_id", "item_id"], dtype="int64")

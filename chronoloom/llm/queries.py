@@ -106,7 +106,8 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    """Passages within two edits by bands and alignment, and of these the ones that agree word for word."""
+    return leakage.leaked_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=2, exact=True)
 
 
 def p9_near(spark: SparkSession, d: str) -> DataFrame:

@@ -26,6 +26,7 @@ def test_passages(spark):
     ]
     items = [(1, ITEM), (2, ITEM + " More words here."), (3, "too short"), (4, None), (5, ""), (6, "ß " * 13), (None, ITEM)]
     assert pairs(spark, docs, items) == [(d, i) for d in (1, 4, 8) for i in (1, 2)]
+    assert pairs(spark, docs, items, edits=2, exact=True) == [(d, i) for d in (1, 4, 8) for i in (1, 2)]
     assert pairs(spark, docs, []) == [] and pairs(spark, [], items) == []
 
 
@@ -34,7 +35,7 @@ def test_short_words_and_blocks(spark, monkeypatch):
     docs = [(1, f"zz {text} zz"), (2, f"zzzz {text}"), (3, text[:-1]), (4, "ß " * 12 + "ß"), (5, "x " + "SS " * 13)]
     items = [(1, text), (2, "Q " + text), (3, "ß-" * 13)]
     want = [(1, 1), (1, 2), (2, 1), (2, 2), (4, 3)]
-    assert pairs(spark, docs, items) == want
+    assert pairs(spark, docs, items) == pairs(spark, docs, items, edits=2, exact=True) == want
     monkeypatch.setattr(leakage, "BLOCK_BYTES", 1)
     assert pairs(spark, docs, items) == want
 
@@ -54,6 +55,7 @@ def test_random_against_brute_force(spark):
     runs = lambda t: {tuple(t[k : k + 13]) for k in range(len(t) - 12)}
     want = sorted((d, i) for d, t in docs for i, s in items if runs(t.lower().replace(";", "").split()) & runs(s.split()))
     assert pairs(spark, docs, items) == want and want
+    assert pairs(spark, docs, items, edits=2, exact=True) == want
 
 
 @pytest.mark.parametrize("edits", [1, 2])
