@@ -13,8 +13,9 @@ from chronoloom.session import cut
 
 _OTHER = r"[^\p{L}\p{Nd}]+"
 _NOT_MARKS = r"[^\p{L}\p{Nd}\p{M}]+"
-#: What shows that a value is an address: a scheme or //, or a host (with a dot, or before a slash) in front, and no white space before the parameters.
-_URL = r"(?i)^\W*https?\W*:|^\W*//|^[^\s/?#]+\.[^\s/?#]+[/?]|^[^\s?#]*/[^\s?#]*\?[^\s?#]*=|^[^\s?#]*\?[^\s?#=&]*="
+#: What shows that a value is an address: a scheme or //; or, without white space before the parameters, a host with a dot, or a parameter with a value.
+#: Possessive, so that a long text is looked at once.
+_URL = r"(?i)^\W*+https?[^\w:]*+:|^[^\w/]*+//|^[^\s/?#.]++(?:\.[^\s/?#.]++)++(?:/[^\s?#]*+)?\?|^[^\s?#]*+\?[^\s?#=]*+="
 
 
 @dataclass(frozen=True)
