@@ -415,24 +415,38 @@ def topk_features(spark: SparkSession, d: str) -> DataFrame:
     return _strongest(_features(spark, d), _UNION_FEATURES)
 
 
-def _strongest(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+def _strengths(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(feature, strength, family): each feature's correlation with the target, in size; features without one are left out."""
     # corr by its sums, as corr itself fails on a constant feature; that has no strength
     strength = lambda n: F.try_divide(F.abs(F.regr_sxy("target_rv5", n)), F.sqrt(F.regr_sxx("target_rv5", n)) * F.sqrt(F.regr_syy("target_rv5", n)))
     long = df.agg(*[strength(n).alias(n) for n in names]).unpivot([], list(names), "feature", "strength").where("strength IS NOT NULL AND NOT isnan(strength)")
-    return long.orderBy(F.desc("strength"), "feature").limit(3).select("feature", F.round("strength", 6).alias("strength"), family(F.col("feature")).alias("family"))
+    return long.select("feature", F.round("strength", 6).alias("strength"), family(F.col("feature")).alias("family"), F.col("strength").alias("__exact"))
 
 
-@query(f"""{_F}, {_CALLS}, {_NEWS},
+def _strongest(df: DataFrame, names: tuple[str, ...], n: int = 3) -> DataFrame:
+    return _strengths(df, names).orderBy(F.desc("__exact"), "feature").limit(n).drop("__exact")
+
+
+_STRENGTHS = f"""{_F}, {_CALLS}, {_NEWS},
 z AS (SELECT f.*, {_text_sql("f.date")}
   FROM f ASOF LEFT JOIN calls c ON f.ticker = c.ticker AND f.date > c.call_date ASOF LEFT JOIN nw n ON f.ticker = n.ticker AND f.date >= n.as_of),
 s AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, abs(corr({n}, target_rv5)) AS strength FROM z" for n in FEATURE_SETS["price+all"])})
 SELECT feature, round(strength, 6) AS strength, CASE WHEN starts_with(feature, 'finbert_') OR feature = 'days_since_last_call' THEN 'finbert' WHEN starts_with(feature, 'news_') THEN 'news' ELSE 'price' END AS family
-FROM s WHERE strength IS NOT NULL AND NOT isnan(strength) ORDER BY s.strength DESC, feature LIMIT 3""")
+FROM s WHERE strength IS NOT NULL AND NOT isnan(strength)"""
+
+
+@query(f"{_STRENGTHS} ORDER BY s.strength DESC, feature LIMIT 3")
 def topk_all_features(spark: SparkSession, d: str) -> DataFrame:
     """Of all features, those of calls and news too, the three that go along with the target most."""
     return _strongest(_enriched(spark, d), FEATURE_SETS["price+all"])
 
 
+@query(_STRENGTHS)
+def feature_strengths(spark: SparkSession, d: str) -> DataFrame:
+    """Every feature of every family with its strength."""
+    return _strengths(_enriched(spark, d), FEATURE_SETS["price+all"]).drop("__exact")
+
+
 # statistics
 
 _M = "avg(power(returns - m, {})) "
