@@ -76,6 +76,13 @@ def release() -> None:
 atexit.register(release)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, which release() removes."""
+    path = f"{shared_dir(spark)}/chronoloom-{uuid.uuid4().hex}/{name}"
+    _written.append((spark, path.rsplit("/", 1)[0]))
+    return path
+
+
 def cut(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back.
 
@@ -83,8 +90,7 @@ def cut(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFra
     step several times would otherwise compute it as often.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chronoloom-{uuid.uuid4().hex}/{name}"
+    path = scratch(spark, name)
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    _written.append((spark, path.rsplit("/", 1)[0]))
     return spark.read.schema(df.schema).parquet(path)
