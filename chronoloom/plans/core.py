@@ -739,7 +739,15 @@ def transcript_contract(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", contracts.transcript_faults(F.col("text"), F.regexp_extract("fiscal_period", "[0-9]{4}", 0), ("Operator", "Analyst", "question", "quarter")).alias("faults"))
 
 
-@query()
+_ATTRIBUTES = """([^<>"']|"[^"]*"|'[^']*')*>""".replace("'", "''")
+_HTML = rf"""h1 AS (SELECT doc_id, regexp_replace(text, '<!--.*?(-->|$)|<script\b[^>]*>.*?(</script\s*>|$)|<style\b[^>]*>.*?(</style\s*>|$)|<noscript\b[^>]*>.*?(</noscript\s*>|$)|<[!?][^>]*>', chr(2), 'gis') AS t FROM documents),
+h2 AS (SELECT doc_id, regexp_replace(t, '<(/?(p|div|li|h1|h2|h3|section)|br)\b{_ATTRIBUTES}', chr(1), 'gi') AS t FROM h1),
+h3 AS (SELECT doc_id, replace(replace(regexp_replace(t, '</?[a-z]{_ATTRIBUTES}', chr(2), 'gi'), '&#39;', chr(39)), '&amp;', '&') AS t FROM h2),
+h4 AS (SELECT doc_id, list_transform(string_split(t, chr(1)), lambda l: array_to_string(list_transform(string_split(l, chr(2)), lambda p: trim(regexp_replace(p, '{tx.SPACE}+', ' ', 'g'), ' ')), '')) AS lines FROM h3),
+h AS (SELECT doc_id, CASE WHEN lines IS NOT NULL THEN array_to_string(list_filter(lines, lambda l: l <> ''), chr(10)) || chr(10) END AS shown FROM h4)"""
+
+
+@query(f"WITH {_HTML} SELECT doc_id, md5(shown) AS shown_md5, CAST(length(shown) AS INTEGER) AS n_shown FROM h")
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     """Visible text of the documents, taken as pages."""
     return tx.visible(table(spark, d, "documents").select("doc_id", "text"), "text", "shown").select("doc_id", F.md5("shown").alias("shown_md5"), F.length("shown").alias("n_shown"))
