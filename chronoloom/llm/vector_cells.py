@@ -10,9 +10,12 @@ into vectors. Without one they are in the shared folder and end with the driver'
 Distance bounds decide which cells are probed, nearest first: a vector in a cell is at least half as far away as that cell's centroid
 is farther than the own one. The own cell gives a first match; another cell is probed only if its bound is below that
 match's distance (or the radius), so the search ends where no nearer match is possible. What the probes give is ranked exactly on the full vectors.
-At radius 0 only the own cell is left: the vectors at distance 0 of a stored one are a
-class there; within a class the address decides, and running minima over the times of its
-rows take the place of pairs (a hot address costs no more than its rows).
+
+Equal addresses are looked for by the same bounds with radius 0: cells whose bound is not above it, within these the stored
+vectors whose place along a line allows it, of these the ones at distance 0 by their full vectors, and last the address. A
+vector is asked for once for an hour and batch, and running minima over the times of the rows found take the place of pairs of
+rows (a hot address costs no more than its rows). A replay goes from batch to batch: the index at its path is opened, only
+the batch's own articles are read into vectors, looked up and appended.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.timestamps import EDGES
 from chronoloom.llm.canonical import letters
 from chronoloom.operators.instants import article_instants
-from chronoloom.session import cut
+from chronoloom.session import cut, scratch
 
 #: Numbers of a vector for the host and for the rest of an address.
 HALF = 8
@@ -46,6 +50,12 @@ RADIUS_MS = 600_000
 #: Addresses are near up to this distance of their vectors. One changed character takes three trigrams and brings three:
 #: the root of 6 where these fall into six slots, less or more where they share some.
 NEAR = 2.5
+#: A direction in the space of vectors: two are at least as far apart as their places along it. Vectors that differ seldom share a place.
+LINE = (311, -457, 89, 503, -227, 149, -397, 61, 439, -173, 271, -509, 353, -31, -283, 199)
+#: Bits of the filter that keeps rows no probe asks for out of the shuffle: 16 for each probe, 8 MB at most.
+FILTER_BITS = 1 << 26
+#: Batches that together have no more rows than this, or than an eighth of the history before them, are looked up in one round.
+ROUND_ROWS = 10_000
 _PARTS = r"^(?:[a-z][a-z0-9+.\-]*:)?/*([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 SCHEMA = "article_id bigint, batch_id int, ms bigint, address string, cell int, vec array<smallint>, era int"
 
@@ -104,6 +114,39 @@ def train(sample: np.ndarray, cells: int = CELLS, rounds: int = 8) -> np.ndarray
     return c
 
 
+def _stacked(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMS)
+
+
+def _place(vec: str) -> Column:
+    return sum((F.get(vec, F.lit(i)).cast("bigint") * w for i, w in enumerate(LINE)), F.lit(0))
+
+
+def _ring_width(radius: float) -> int:
+    # a probe reaches into two or three rings at most; at radius 0 into its own
+    return max(1, int(np.ceil(radius * np.linalg.norm(LINE))))
+
+
+def _asked_for(rows: DataFrame, probes: DataFrame, on: list[str]) -> DataFrame:
+    """The rows that may be asked for by a probe (all that are, and false hits): a filter of FILTER_BITS at most is sent to the tasks."""
+    bits = min(FILTER_BITS, 1 << max(15, (16 * probes.count()).bit_length()))
+    at = F.pmod(F.xxhash64(*on), F.lit(bits))
+    # buckets of 32,768 bits: 2,048 at most; positions and buckets count from 1
+    maps = probes.select(F.bitmap_bucket_number(at + 1).alias("bucket"), F.bitmap_bit_position(at + 1).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
+    table = np.zeros((bits // 32_768, 4096), np.uint8)
+    for r in maps:
+        table[r["bucket"] - 1] = np.frombuffer(bytes(r["map"]), np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(table.ravel())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column("__at").to_numpy()
+            hit = (shared.value[k // 8] >> (k % 8).astype(np.uint8)) & 1
+            yield batch.drop_columns(["__at"]).filter(pa.array(hit.astype(bool)))
+
+    return rows.withColumn("__at", at).mapInArrow(keep, rows.schema)
+
+
 class VectorCells:
     """The index. Open it with its centroids; append batches, look batches up against what came before."""
 
@@ -164,8 +207,7 @@ class VectorCells:
         rows = entries.select("article_id", "batch_id", "ms", "address", "cell", "vec", "era")
         if self.path:
             # few files to a folder, and a full folder not by one task
-            placed = rows.repartition("era", F.pmod(F.xxhash64("article_id"), F.lit(8)))
-            placed.write.option("compression", "zstd").mode("append").partitionBy("era").parquet(f"{self.path}/cells")
+            rows.hint("rebalance", "era").write.option("compression", "zstd").mode("append").partitionBy("era").parquet(f"{self.path}/cells")
             self.table = self._stored()
             return
         new = cut(rows, "cells")
@@ -180,37 +222,58 @@ class VectorCells:
         eras = sorted(r[0] for r in entries.select(F.explode(ends)).distinct().collect())  # one number for each 32 days
         return self.table.where(F.col("era").isin(eras) if eras else F.lit(False))
 
+    def _probes(self, entries: DataFrame, radius: float, radius_ms: int) -> DataFrame:
+        """(cell, slab, ring, batch_id, asked): where the entries' vectors have to be looked for, each vector once for a slab and batch."""
+        shared = self.shared
+
+        def cells_in_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    d = _distances(_stacked(part), shared.value)
+                    own = d[np.arange(len(d)), part.column("cell").to_numpy()]
+                    r, c = np.nonzero((d - own[:, None]) / 2 <= radius + 1e-9)  # the own one's bound is 0
+                    yield part.take(pa.array(r)).set_column(3, "cell", pa.array(c, pa.int32()))
+
+        lists = entries.select("batch_id", "ms", "vec", "cell").mapInArrow(cells_in_bounds, "batch_id int, ms bigint, vec array<smallint>, cell int")
+        slabs = F.array_distinct(F.array(*[F.floor((F.col("ms") + k) / SLAB_MS) for k in (-radius_ms, 0, radius_ms)]))
+        reach = F.lit(radius * float(np.linalg.norm(LINE)) * (1 + 1e-9))
+        ring = lambda k: F.floor((_place("vec") + k) / _ring_width(radius))
+        each = lists.select("cell", F.explode(slabs).alias("slab"), "batch_id", "vec").withColumn("ring", F.explode(F.sequence(ring(-reach), ring(reach))))
+        return cut(each.repartition("cell", "slab", "ring").select("cell", "slab", "ring", "batch_id", F.col("vec").alias("asked")).distinct(), "probes")
+
+    def search(self, entries: DataFrame, radius: float = 0.0, radius_ms: int = RADIUS_MS) -> DataFrame:
+        """(batch_id, asked, id, b, ms, addr, distance): for the entries' vectors (asked) of each batch, the rows of earlier batches
+        (id, batch b, time, MD5 of the address) with a vector at most `radius` away, in the slabs of time that radius_ms reaches."""
+        probes = self._probes(entries, radius, radius_ms)
+        history = self.reached(entries, radius_ms).select(
+            "cell", F.floor(F.col("ms") / SLAB_MS).alias("slab"), F.floor(_place("vec") / _ring_width(radius)).alias("ring"), "vec", "ms", F.unhex(F.md5("address")).alias("addr"), F.col("batch_id").alias("b"), F.col("article_id").alias("id")
+        )
+        met = _asked_for(history, probes, ["cell", "slab", "ring"]).join(probes, ["cell", "slab", "ring"]).where("b < batch_id")
+        square = sum(((F.get("vec", F.lit(i)).cast("bigint") - F.get("asked", F.lit(i))) ** 2 for i in range(DIMS)), F.lit(0.0))
+        near = met.select("batch_id", "asked", "id", "b", "ms", "addr", F.sqrt(square).alias("distance"))
+        return near.where(F.col("distance") <= radius)
+
     def known(self, entries: DataFrame, radius_ms: int = RADIUS_MS) -> DataFrame:
         """(kept_id, article_id): entries whose address an earlier batch brought at most radius_ms away.
 
-        Candidates are the stored vectors at distance 0 in the entry's cell; those of another address drop out.
-        kept_id is the smallest id of an earlier batch's, as ids grow with
-        arrival. Batches may be looked up one by one or together, before or after they are appended: only
-        lower batch_ids count. Repeated rows give repeated results.
+        Candidates are what search() finds at distance 0; those of another address drop out. kept_id is the smallest id of an
+        earlier batch's. Batches may be looked up one by one or together, before or after they are appended: only lower
+        batch_ids count. A repeated row counts once.
         """
-        # at radius 0 only the own cell is probed, and there the vectors at distance 0; the address, by its md5, is checked after that
-        key = [F.col("cell"), F.col("vec"), F.unhex(F.md5("address")).alias("addr"), F.col("ms")]
-        asked = entries.select(*key, "batch_id", "article_id")
-        history = self.reached(entries, radius_ms).select(*key, F.col("batch_id").alias("b"), F.col("article_id").alias("id"), F.lit(False).alias("ask"))
-        times = history.unionByName(asked.select("cell", "vec", "addr", "ms", F.lit(True).alias("ask")), allowMissingColumns=True)
-        # one row per vector, address and time; combined before the shuffle. The least id comes with the least batch
-        times = times.groupBy("cell", "vec", "addr", "ms").agg(F.min("b").alias("b"), F.min("id").alias("id"), F.max("ask").alias("ask"))
+        found = self.search(entries, 0.0, radius_ms).groupBy("batch_id", "addr", "ms").agg(F.min("id").alias("id"))
         slab = F.floor(F.col("ms") / radius_ms)
-        row = lambda s, pos, kind, b, i: F.struct(s.alias("slab"), pos.alias("pos"), F.lit(kind).alias("kind"), b.cast("int").alias("b"), i.cast("bigint").alias("id"))
-        none = F.lit(None)
-        own = row(slab, F.col("ms"), 0, F.col("b"), F.col("id"))
+        row = lambda s, pos, kind: F.struct(s.alias("slab"), pos.alias("pos"), F.lit(kind).alias("kind"))
         # the radius reaches into three slabs: the end of the one before, all of its own, the beginning of the next
-        probes = [row(slab - 1, F.col("ms") - radius_ms, 1, none, none), row(slab, (slab + 1) * radius_ms, 2, none, none), row(slab + 1, F.col("ms") + radius_ms, 3, none, none)]
-        each = F.when(F.col("ask") & F.col("id").isNotNull(), F.array(own, *probes)).when(F.col("ask"), F.array(*probes)).otherwise(F.array(own))
-        rows = times.select("cell", "vec", "addr", "ms", F.inline(each))
-        w = Window.partitionBy("cell", "vec", "addr", "slab")
+        probes = F.array(row(slab - 1, F.col("ms") - radius_ms, 1), row(slab, (slab + 1) * radius_ms, 2), row(slab + 1, F.col("ms") + radius_ms, 3))
+        asked = entries.select("batch_id", F.unhex(F.md5("address")).alias("addr"), "ms", "article_id", F.inline(probes))
+        have = found.select("batch_id", "addr", slab.alias("slab"), F.col("ms").alias("pos"), F.lit(0).alias("kind"), "id")
+        w = Window.partitionBy("batch_id", "addr", "slab")
         to = w.orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
         back = w.orderBy(F.desc("pos"), "kind").rowsBetween(Window.unboundedPreceding, 0)
-        best = rows.withColumns({f"{c}_{n}": F.min(c).over(x) for c in ("b", "id") for n, x in (("up", to), ("down", back))}).where("kind > 0")
-        best = best.select("cell", "vec", "addr", "ms", *[F.when(F.col("kind") == 1, F.col(f"{c}_down")).otherwise(F.col(f"{c}_up")).alias(c) for c in ("b", "id")]).where("id is not null")
-        best = best.groupBy("cell", "vec", "addr", "ms").agg(F.min("b").alias("b"), F.min("id").alias("kept_id"))
-        found = asked.join(best, ["cell", "vec", "addr", "ms"]).where("b < batch_id")
-        return found.select("kept_id", "article_id")
+        best = have.unionByName(asked, allowMissingColumns=True).withColumns({"up": F.min("id").over(to), "down": F.min("id").over(back)}).where("kind > 0")
+        best = best.withColumn("kept_id", F.when(F.col("kind") == 1, F.col("down")).otherwise(F.col("up"))).where("kept_id is not null")
+        return best.groupBy("article_id", "batch_id", "addr", "ms").agg(F.min("kept_id").alias("kept_id")).select("kept_id", "article_id")
 
     def nearest(self, entries: DataFrame, radius: float, radius_ms: int = RADIUS_MS) -> DataFrame:
         """(kept_id, article_id, distance): the nearest vector of an earlier batch at most `radius` and
@@ -260,13 +323,39 @@ def _replayed(articles: DataFrame, feeds: DataFrame, path: str | None = None) ->
     return index
 
 
+def _rounds(articles: DataFrame) -> list[tuple[int, int]]:
+    """First and last batch of each round. Those up to batch 0 are one; of the later ones, small batches share a round, so that there are
+    few rounds however many batches come, and the rows read again for them grow with the rows."""
+    rounds, seen, n = [], 0, 0
+    for batch, k in articles.where("batch_id is not null").groupBy("batch_id").count().orderBy("batch_id").collect():
+        if rounds and (batch < 1 or (rounds[-1][1] >= 1 and n + k <= max(ROUND_ROWS, seen // 8))):
+            rounds[-1], n = (rounds[-1][0], batch), n + k
+        else:
+            rounds.append((batch, batch))
+            seen, n = seen + n, k
+    return rounds
+
+
 def replay(articles: DataFrame, feeds: DataFrame, path: str | None = None) -> DataFrame:
     """(kept_id, article_id) for every batch after 0, each against all before it; see VectorCells.known.
 
-    The index is left at `path`, if given, for VectorCells.open and the batches to come.
+    Round by round the index is opened at its path, and that round's articles alone are placed, appended and looked up. The index
+    is left at `path`, if given, for VectorCells.open and the batches to come; without one it is in the shared folder until release().
     """
-    index = _replayed(articles, feeds, path)
-    return index.known(index.table.where("batch_id >= 1"))
+    spark = articles.sparkSession
+    path, results = path or scratch(spark, "index"), scratch(spark, "known")
+    VectorCells.fit(articles, path)
+    spark.createDataFrame([], "kept_id bigint, article_id bigint").write.parquet(results)
+    for first, last in _rounds(articles):
+        index = VectorCells.open(spark, path)
+        entries = index.entries(articles.where(F.col("batch_id").between(first, last)), feeds)
+        if last < 1:  # nothing is asked of these
+            index.append(entries)
+            continue
+        entries = cut(entries, "entries")
+        index.append(entries)
+        index.known(entries).write.mode("append").parquet(results)
+    return spark.read.schema("kept_id bigint, article_id bigint").parquet(results)
 
 
 def replay_nearest(articles: DataFrame, feeds: DataFrame, radius: float = NEAR) -> DataFrame:

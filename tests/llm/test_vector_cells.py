@@ -156,3 +156,49 @@ def test_a_batch_reads_only_the_folders_it_reaches(spark, rows, tmp_path):
     eras = {r[0] for r in reached.select("era").distinct().collect()}
     assert all(str(e) in filters for e in eras) and 0 < len(eras) < index.table.select("era").distinct().count()
     assert rows(index.known(batch)) == [(3, 50)]
+
+
+def test_the_search_probes_cells_and_ranks_by_distance(spark):
+    rng = np.random.default_rng(6)
+    hosts = [f"{w}{i}.example" for w in ("wire", "wired", "daily") for i in range(3)]
+    data = [(i, i // 40, "f", at(int(rng.integers(0, 3000))), f"https://{rng.choice(hosts)}/{rng.choice(['alpha', 'beta'])}-{rng.integers(0, 4)}", "x") for i in range(120)]
+    df = spark.createDataFrame(data, ARTICLES)
+    index = vc.VectorCells.fit(df)
+    index.append(index.entries(df, feeds(spark)))
+    e = {r["article_id"]: r for r in index.table.collect()}
+    for radius in (0.0, 14.0):
+        got = {(r["batch_id"], tuple(r["asked"]), r["id"], round(r["distance"], 6)) for r in index.search(index.table.where("batch_id >= 1"), radius).collect()}
+        want, across = set(), 0
+        for r in e.values():
+            for o in e.values():
+                d = float(np.linalg.norm(np.subtract(r["vec"], o["vec"])))
+                if r["batch_id"] >= 1 and o["batch_id"] < r["batch_id"] and d <= radius:
+                    if abs(o["ms"] - r["ms"]) <= vc.RADIUS_MS:
+                        want.add((r["batch_id"], tuple(r["vec"]), o["article_id"], round(d, 6)))
+                        across += o["cell"] != r["cell"]
+        assert want and want <= got and all(d <= radius for *_, d in got), radius
+        assert all(round(float(np.linalg.norm(np.subtract(q, e[i]["vec"]))), 6) == d and e[i]["batch_id"] < b for b, q, i, d in got)
+    assert across > 0  # with the wide radius some lie in other cells
+
+
+def test_a_replay_opens_the_index_for_each_batch(spark, rows, monkeypatch, tmp_path):
+    # ids don't grow with the batches here, and batch 3 brings an address twice
+    data = [(10, 0, "f", at(0), "https://a.example/1", "x"), (5, 3, "f", at(1), "https://a.example/1", "x"), (11, 3, "f", at(2), "https://a.example/1", "x")]
+    data += [(1, 5, "f", at(3), "https://a.example/1", "x"), (2, 5, "f", at(700), "https://a.example/1", "x"), (12, 6, "f", at(603), "https://a.example/1", "x")]
+    df = spark.createDataFrame(data, ARTICLES)
+    monkeypatch.setattr(vc, "ROUND_ROWS", 0)
+    opened, placed, appended = [], [], vc.VectorCells.append
+    was = vc.VectorCells.open.__func__
+    monkeypatch.setattr(vc.VectorCells, "open", classmethod(lambda cls, s, p: opened.append(p) or was(cls, s, p)))
+    monkeypatch.setattr(vc.VectorCells, "append", lambda self, e: placed.append({r[0] for r in e.select("batch_id").collect()}) or appended(self, e))
+    path = f"file://{tmp_path}/index"
+    found = rows(vc.replay(df, feeds(spark), path))
+    assert set(found) == brute(data) == {(10, 5), (10, 11), (5, 1), (1, 12)} and len(found) == 4
+    assert placed == [{0}, {3}, {5}, {6}] and set(opened) == {path} and len(opened) >= 4
+
+
+def test_small_batches_share_a_round(spark, rows):
+    data = [(i, b, "f", at(0), "https://a.example/1", "x") for i, b in enumerate([-1, 0, 1, 2, 9, 40])]
+    df = spark.createDataFrame(data, ARTICLES)
+    assert vc._rounds(df) == [(-1, 0), (1, 40)] and vc._rounds(df.limit(0)) == []
+    assert set(rows(vc.replay(df, feeds(spark)))) == brute(data)
