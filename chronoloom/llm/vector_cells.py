@@ -14,8 +14,8 @@ match's distance (or the radius), so the search ends where no nearer match is po
 Equal addresses are looked for by the same bounds with radius 0: cells whose bound is not above it, within these the stored
 vectors whose place along a line allows it, of these the ones at distance 0 by their full vectors, and last the address. A
 vector is asked for once for an hour and batch, and running minima over the times of the rows found take the place of pairs of
-rows (a hot address costs no more than its rows). A replay goes from batch to batch: the index at its path is opened, only
-the batch's own articles are read into vectors, looked up and appended.
+rows (a hot address costs no more than its rows). A replay goes in rounds of batches: the index at its path is opened, only
+the round's own articles are read into vectors, appended and looked up.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ NEAR = 2.5
 LINE = (311, -457, 89, 503, -227, 149, -397, 61, 439, -173, 271, -509, 353, -31, -283, 199)
 #: Bits of the filter that keeps rows no probe asks for out of the shuffle: 16 for each probe, 8 MB at most.
 FILTER_BITS = 1 << 26
-#: Batches that together have no more rows than this, or than an eighth of the history before them, are looked up in one round.
+#: Batches that together have no more rows than this, or fewer than the history before them, are looked up in one round.
 ROUND_ROWS = 10_000
 _PARTS = r"^(?:[a-z][a-z0-9+.\-]*:)?/*([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 SCHEMA = "article_id bigint, batch_id int, ms bigint, address string, cell int, vec array<smallint>, era int"
@@ -127,9 +127,9 @@ def _ring_width(radius: float) -> int:
     return max(1, int(np.ceil(radius * np.linalg.norm(LINE))))
 
 
-def _asked_for(rows: DataFrame, probes: DataFrame, on: list[str]) -> DataFrame:
-    """The rows that may be asked for by a probe (all that are, and false hits): a filter of FILTER_BITS at most is sent to the tasks."""
-    bits = min(FILTER_BITS, 1 << max(15, (16 * probes.count()).bit_length()))
+def _asked_for(rows: DataFrame, probes: DataFrame, on: list[str], n: int) -> DataFrame:
+    """The rows that may be asked for by one of n probes (all that are, and false hits): a filter of FILTER_BITS at most is sent to the tasks."""
+    bits = min(FILTER_BITS, 1 << max(15, (16 * n).bit_length()))
     at = F.pmod(F.xxhash64(*on), F.lit(bits))
     # buckets of 32,768 bits: 2,048 at most; positions and buckets count from 1
     maps = probes.select(F.bitmap_bucket_number(at + 1).alias("bucket"), F.bitmap_bit_position(at + 1).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
@@ -246,10 +246,11 @@ class VectorCells:
         """(batch_id, asked, id, b, ms, addr, distance): for the entries' vectors (asked) of each batch, the rows of earlier batches
         (id, batch b, time, MD5 of the address) with a vector at most `radius` away, in the slabs of time that radius_ms reaches."""
         probes = self._probes(entries, radius, radius_ms)
-        history = self.reached(entries, radius_ms).select(
+        n, last = probes.agg(F.count(F.lit(1)), F.max("batch_id")).first()
+        history = self.reached(entries, radius_ms).where(F.col("batch_id") < F.lit(last)).select(
             "cell", F.floor(F.col("ms") / SLAB_MS).alias("slab"), F.floor(_place("vec") / _ring_width(radius)).alias("ring"), "vec", "ms", F.unhex(F.md5("address")).alias("addr"), F.col("batch_id").alias("b"), F.col("article_id").alias("id")
         )
-        met = _asked_for(history, probes, ["cell", "slab", "ring"]).join(probes, ["cell", "slab", "ring"]).where("b < batch_id")
+        met = _asked_for(history, probes, ["cell", "slab", "ring"], n).join(probes, ["cell", "slab", "ring"]).where("b < batch_id")
         square = sum(((F.get("vec", F.lit(i)).cast("bigint") - F.get("asked", F.lit(i))) ** 2 for i in range(DIMS)), F.lit(0.0))
         near = met.select("batch_id", "asked", "id", "b", "ms", "addr", F.sqrt(square).alias("distance"))
         return near.where(F.col("distance") <= radius)
@@ -324,11 +325,11 @@ def _replayed(articles: DataFrame, feeds: DataFrame, path: str | None = None) ->
 
 
 def _rounds(articles: DataFrame) -> list[tuple[int, int]]:
-    """First and last batch of each round. Those up to batch 0 are one; of the later ones, small batches share a round, so that there are
-    few rounds however many batches come, and the rows read again for them grow with the rows."""
+    """First and last batch of each round. Those up to batch 0 are one; later ones share a round as long as they are
+    fewer rows than the history before it, so that there are few rounds however many batches come, and history is not read again for each."""
     rounds, seen, n = [], 0, 0
     for batch, k in articles.where("batch_id is not null").groupBy("batch_id").count().orderBy("batch_id").collect():
-        if rounds and (batch < 1 or (rounds[-1][1] >= 1 and n + k <= max(ROUND_ROWS, seen // 8))):
+        if rounds and (batch < 1 or (rounds[-1][1] >= 1 and (n + k <= ROUND_ROWS or n + k < seen))):
             rounds[-1], n = (rounds[-1][0], batch), n + k
         else:
             rounds.append((batch, batch))
